@@ -19,6 +19,8 @@ from loomgraph.llm import repeats
 from loomgraph.llm.line_dedup import arrow_schema, with_ids
 
 LENGTH, ANCHOR = 100, 20
+#: Bytes of segments in one suffix array.
+ARRAY_BYTES = 512 << 10
 
 
 def suffix_array(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -106,8 +108,28 @@ def maximal_repeats(segments: list[bytes], least: int, left: list[int] | None =
 
 
 def _later_starts(segs: list[pa.RecordBatch], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of windows that also start earlier, among the segments of one shard."""
-    t = pa.Table.from_batches(segs).combine_chunks()
+    """Places of windows that also start earlier, among the segments of one shard.
+
+    Equal windows have one anchor, so the shard is done in groups of whole anchors: a suffix array
+    holds about ``ARRAY_BYTES``, or the segments of one anchor, of which there are few.
+    """
+    t = pa.Table.from_batches(segs)
+    a = t.column("a").to_numpy()
+    order = np.argsort(a, kind="stable")
+    a = a[order]
+    heads = np.flatnonzero(K.group_starts(a))
+    size = np.cumsum(t.column("n").to_numpy().astype(np.int64)[order] + length)
+    found, at = [], 0
+    while at < len(heads):
+        base = size[heads[at] - 1] if heads[at] else 0
+        to = max(at + 1, int(np.searchsorted(size[np.append(heads[1:], len(a)) - 1], base + ARRAY_BYTES, "right")))
+        end = heads[to] if to < len(heads) else len(a)
+        found.append(_later_in_array(t.take(pa.array(order[heads[at] : end])).combine_chunks(), length))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
+
+
+def _later_in_array(t: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     doc, start, count = (t.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "n"))
     data, cut = K.text_bytes(t.column("seg"))
     order, levels = suffix_array(data, cut)
