@@ -171,7 +171,7 @@ def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sha
     fails.  A null host is a host of its own.  Rows without doc_id are left out; repeated rows count
     as documents of their own, and all rows that share a line's smallest doc_id keep the line.
     """
-    src = with_ids(docs, F.col(host).cast("string").alias("_host"), *keep)
+    src = with_ids(docs, F.col(host).cast("string").alias("_host"), *(c for c in keep if c != "text"))
     spark = docs.sparkSession
     often = X.stored(frequent_lines(docs, host, min_docs, share), "frequent-lines")
     few = often.limit(broadcast_lines + 1).count() <= broadcast_lines

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, fingerprints, line_dedup, near_dedup, packing, quality_rules, substring_dedup, suffix_array
+from loomgraph.llm import bpe, exchange, fingerprints, line_dedup, lm_scoring, near_dedup, packing, quality_rules, substring_dedup, suffix_array, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +34,21 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"))
+    exchange.drop_shuffles(spark)
+    found = warc.captures(warc.build_index(archives))
+    return warc.read_records(archives, found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -57,5 +68,5 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_packing, op3_substring_dedup, op5_near_dedup, op7_bpe, op8_quality_rules, op9_fingerprints, op10_suffix_array)
+    f.__name__: f for f in (op1_line_dedup, op2_packing, op3_substring_dedup, op4_lm_scoring, op5_near_dedup, op6_warc, op7_bpe, op8_quality_rules, op9_fingerprints, op10_suffix_array)
 }
