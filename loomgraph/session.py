@@ -20,3 +20,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     if _ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, have) if x)
     return spark
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster; a folder of the warehouse where the session names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+
+
+def cut_lineage(df):
+    """The frame, computed once and checkpointed to the shared folder."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    return df.checkpoint(eager=True)
