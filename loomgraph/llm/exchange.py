@@ -109,11 +109,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of frames that are out of use."""
+    """Lets Spark's cleaner remove the shuffle files of frames that are out of use.
+
+    The cleaner works behind references that the collector has cleared, so it gets two turns.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def text_frames(docs: DataFrame, n: int, key: str = "doc_id", extra: tuple[str, ...] = (), tag: int = 9) -> DataFrame:
