@@ -5,10 +5,11 @@
 2. In each band the documents are compared with the smallest one by bit counts: the share of equal
    2-bit places, corrected for chance collisions, estimates the similarity.  Big groups are compared
    with the smallest of their block before anything is sent, and only what differs goes on.
-3. One candidate a document is verified on the full sets; verified links are closed to components.
-4. Bands that still hold several components are searched for pairs across them, and all pairs that
-   pass the estimate are verified.  Pairs inside a component are never made: they could not change it.
-   A band with very many such documents is searched in blocks.
+3. The likeliest candidate of each document is verified on the full sets, and verified links are
+   closed to components.  This is done twice again for the likeliest ones in other components.
+4. Bands that still hold several components are searched for all pairs across them that pass the
+   estimate, and all of these are verified.  Pairs inside a component are never made: they could not
+   change it.  A band with very many such documents is searched in blocks.
 
 With 32 bands of 4, a pair at similarity 0.75 is missed with a probability of 6e-6.
 """
@@ -32,6 +33,8 @@ PERMUTATIONS = BANDS * ROWS
 PERCENT = 75
 #: Documents of a band that are compared before sending; documents of a band in one search.
 LOCAL_GROUP, SEARCH_GROUP, UNIT = 16, 4096, 512
+#: Likely candidates of a document that are verified in one round: enough for a family to close at once.
+TRIES = 4
 _BAND, _EDGE, _ASK, _TEXT = 0, 1, 2, 9
 _SIG = ("s0", "s1", "s2", "s3")
 
@@ -85,11 +88,11 @@ def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return batch.column("doc_id").to_numpy(), sig, batch.column("bands").values.to_numpy().view(K.U64).reshape(-1, BANDS)
 
 
-def _with_hubs(key: np.ndarray, doc: np.ndarray, sig: np.ndarray, least: int) -> tuple:
-    """Rows sorted by (key, doc): (passes the estimate with the group's first, index of that first)."""
+def _with_hubs(key: np.ndarray, sig: np.ndarray) -> tuple:
+    """Rows sorted by (key, doc): (equal places with the group's first, index of that first)."""
     new = K.group_starts(key)
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return equal_places(sig, sig[first]) >= least, first
+    return equal_places(sig, sig[first]), first
 
 
 def _send_bands(n: int, least: int):
@@ -102,14 +105,15 @@ def _send_bands(n: int, least: int):
             key = keys.ravel()
             order = np.lexsort((doc[row], key))
             key, row = key[order], row[order]
-            near, first = _with_hubs(key, doc[row], sig[row], least)
+            equal, first = _with_hubs(key, sig[row])
+            near = equal >= least
             group = np.cumsum(K.group_starts(key)) - 1
             settled = near & (first != np.arange(len(key))) & (np.bincount(group) > LOCAL_GROUP)[group]
-            u, v = doc[row][settled], doc[row][first[settled]]
-            order = np.lexsort((v, u))
-            once = order[K.group_starts(u[order])]  # one, the smallest, is enough
-            u, v = u[once], v[once]
-            yield from out.add(_EDGE, K.doc_hash(u), {"u": u, "v": v})
+            u, v, e = doc[row][settled], doc[row][first[settled]], equal[settled]
+            order = np.lexsort((v, -e, u))
+            once = order[K.group_starts(u[order])]  # one, the likeliest, is enough
+            u, v, e = u[once], v[once], e[once]
+            yield from out.add(_EDGE, K.doc_hash(u), {"u": u, "v": v, "e": e.astype(np.int16)})
             row, key = row[~settled], key[~settled]
             yield from out.add(_BAND, key, {"key": key, "doc": doc[row], **{c: sig[row, i] for i, c in enumerate(_SIG)}})
 
@@ -126,14 +130,28 @@ def _send_bands(n: int, least: int):
     return run
 
 
+def _likeliest(u: np.ndarray, v: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((v, -e, u))
+    once = order[K.group_starts(u[order])] if len(u) else order
+    return pa.record_batch([pa.array(u[once]), pa.array(v[once]), pa.array(e[once])], names=["u", "v", "e"])
+
+
+def _best(found: DataFrame, most: int) -> DataFrame:
+    """The ``most`` likeliest (u, v), u > v, of each first end, which has a row a band and task at most."""
+    ranked = F.slice(F.sort_array(F.collect_set(F.struct("e", (-F.col("v")).alias("m"))), asc=False), 1, most)
+    one = found.groupBy("u").agg(ranked.alias("x")).select("u", F.explode("x").alias("x")).select("u", (-F.col("x.m")).alias("v"))
+    return one.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def _band_edges(least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, us, vs = [], [], []
+        parts, us, vs, es = [], [], [], []
         for _, tag, frame in X.frames(batches):
             t = X.unpack(frame)
             if tag == _EDGE:
                 us.append(t.column("u").to_numpy())
                 vs.append(t.column("v").to_numpy())
+                es.append(t.column("e").to_numpy().astype(np.int64))
             else:
                 parts.append(t)
         if parts:
@@ -144,16 +162,15 @@ def _band_edges(least: int):
             for _ in range(3):  # what is unlike the first is compared with the first of the rest
                 if not len(key):
                     break
-                near, first = _with_hubs(key, doc, sig, least)
+                equal, first = _with_hubs(key, sig)
+                near = equal >= least
                 pair = near & (doc != doc[first])
                 us.append(doc[pair])
                 vs.append(doc[first[pair]])
+                es.append(equal[pair])
                 key, doc, sig = key[~near], doc[~near], sig[~near]
         if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            order = np.lexsort((v, u))
-            once = order[K.group_starts(u[order])]
-            yield pa.record_batch([pa.array(u[once]), pa.array(v[once])], names=["u", "v"])
+            yield _likeliest(np.concatenate(us), np.concatenate(vs), np.concatenate(es))
 
     return run
 
@@ -240,36 +257,52 @@ def components(edges: DataFrame) -> DataFrame:
     """doc, comp (the smallest document reachable) of all ends of edges (u, v).
 
     Labels go along edges and then jump to their label's label, until none changes; each turn is a
-    few shuffles of the labels, written to the shared folder.
+    few shuffles of the labels, written to the shared folder in a file for about 200,000 links.
     """
-    both = X.stored(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "links")
-    labels = X.stored(both.groupBy(F.col("u").alias("doc")).agg(F.least(F.min("v"), F.min("u")).alias("comp")), "labels")
+    tasks = 1 + edges.count() // 200_000
+    put = lambda df: X.stored(df.coalesce(tasks), "labels")
+    both = put(edges.select("u", "v").union(edges.select("v", "u")).distinct())
+    labels = put(both.groupBy(F.col("u").alias("doc")).agg(F.least(F.min("v"), F.min("u")).alias("comp")))
     while True:
         near = both.join(labels, both.v == labels.doc).groupBy(F.col("u").alias("d")).agg(F.min("comp").alias("c"))
         step = labels.join(near, labels.doc == near.d).select("doc", F.col("comp").alias("was"), F.least("comp", "c").alias("comp"))
         jump = labels.select(F.col("doc").alias("comp"), F.col("comp").alias("next"))
-        now = X.stored(step.join(jump, "comp", "left").select("doc", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")), "labels")
+        now = put(step.join(jump, "comp", "left").select("doc", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")))
         labels = now.select("doc", "comp")
         if now.where("was <> comp").limit(1).count() == 0:
             return labels
 
 
-def _cross_pairs(n: int, least: int):
-    """Candidate pairs across components within a band, or within two blocks of a large one."""
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    name = comps.select(F.col("doc").alias("d"), "comp")
+    over = links.join(name.withColumnsRenamed({"d": "u", "comp": "cu"}), "u", "left").join(name.withColumnsRenamed({"d": "v", "comp": "cv"}), "v", "left")
+    over = X.stored(over.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v").distinct(), "links")
+    joined = components(over).withColumnsRenamed({"doc": "c", "comp": "final"})
+    # Ends that had no component yet are their own.
+    ends = comps.union(over.select("u", F.col("u").alias("c"))).union(over.select("v", F.col("v").alias("c"))).groupBy("doc").agg(F.min("comp").alias("comp"))
+    return X.stored(ends.join(joined, ends.comp == joined.c, "left").select("doc", F.coalesce("final", "comp").alias("comp")), "components")
+
+
+def _cross_pairs(n: int, least: int, best: bool):
+    """Candidate pairs across components within a band, or within two blocks of a large one.
+
+    With ``best``: of each document only the likeliest, other than the one that was tried before.
+    """
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = X.Sender(n)
         for batch in batches:
             key = batch.column("band").to_numpy().view(K.U64)
             blocks = -(-batch.column("cnt").to_numpy() // SEARCH_GROUP)
-            doc, comp = batch.column("doc_id").to_numpy(), batch.column("comp").to_numpy()
+            doc, comp, tried = (batch.column(c).to_numpy() for c in ("doc_id", "comp", "tried"))
             sig = [batch.column(c).to_numpy().view(K.U64) for c in _SIG]
             own = (K.doc_hash(doc) % blocks.astype(K.U64)).astype(np.int64)
             row = np.repeat(np.arange(len(doc)), blocks)
             other = K.within(blocks)
             a, b = np.minimum(own[row], other), np.maximum(own[row], other)
             unit = K.mix(key[row] + K.mix(a.astype(K.U64) * K.U64(0x10001) + b.astype(K.U64)) * (blocks[row] > 1))
-            yield from out.add(_BAND, unit, {"unit": unit, "doc": doc[row], "comp": comp[row], **{c: s[row] for c, s in zip(_SIG, sig, strict=True)}})
+            yield from out.add(_BAND, unit, {"unit": unit, "doc": doc[row], "comp": comp[row], "tried": tried[row], **{c: s[row] for c, s in zip(_SIG, sig, strict=True)}})
         yield from out.flush()
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,21 +311,35 @@ def _cross_pairs(n: int, least: int):
             return
         r = X.joined(parts)
         order = np.lexsort((r["doc"], r["comp"], r["unit"]))
-        unit, doc, comp = (r[c][order] for c in ("unit", "doc", "comp"))
+        unit, doc, comp, tried = (r[c][order] for c in ("unit", "doc", "comp", "tried"))
         sig = np.stack([r[c][order] for c in _SIG], axis=1)
         cut = np.append(np.flatnonzero(K.group_starts(unit)), len(unit))
+        top, mate = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
+        us, vs = [], []
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            us, vs = [], []
             after = lo + np.searchsorted(comp[lo:hi], comp[lo:hi], "right")  # first row of a later component
             for i in range(lo, hi):
                 at = after[i - lo]
-                if at < hi:
-                    hit = at + np.flatnonzero(equal_places(sig[at:hi], sig[i]) >= least)
-                    if len(hit):
-                        us.append(np.maximum(doc[hit], doc[i]))
-                        vs.append(np.minimum(doc[hit], doc[i]))
-            if us:
-                yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+                if at >= hi:
+                    break
+                equal = equal_places(sig[at:hi], sig[i])
+                if not best:
+                    hit = at + np.flatnonzero(equal >= least)
+                    us.append(np.maximum(doc[hit], doc[i]))
+                    vs.append(np.minimum(doc[hit], doc[i]))
+                    continue
+                equal[(doc[at:hi] == tried[i]) | (tried[at:hi] == doc[i])] = 0
+                j = int(equal.argmax())
+                if equal[j] > top[i]:
+                    top[i], mate[i] = equal[j], doc[at + j]
+                more = np.flatnonzero(equal > top[at:hi]) + at
+                top[more], mate[more] = equal[more - at], doc[i]
+        if best:
+            some = top >= least
+            yield _likeliest(doc[some], mate[some], top[some])
+        elif us:
+            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
+            yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["u", "v"])
 
     return send, search
 
@@ -312,25 +359,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = M.SH
     sets = X.stored(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "sets")
     reps = some.join(sets, ["h1", "h2", "n"]).where("doc_id = rep").dropDuplicates(["doc_id", "h1"]).select("doc_id", *_SIG, "bands")
     reps = X.stored(reps, "representatives")
-    found = X.shuffled(reps.mapInArrow(_send_bands(n, least), X.FRAMES), n).mapInArrow(_band_edges(least), "u long, v long")
-    candidates = X.stored(found.groupBy("u").agg(F.min("v").alias("v")), "candidates")
-    links = X.stored(verified(candidates, src, percent, shingle), "verified")
+    found = X.shuffled(reps.mapInArrow(_send_bands(n, least), X.FRAMES), n).mapInArrow(_band_edges(least), "u long, v long, e long")
+    tested = candidates = X.stored(_best(found, 1), "candidates")
+    comps = components(X.stored(verified(candidates, src, percent, shingle), "verified"))
     X.drop_shuffles(spark)
-    comps = components(links)
-    named = reps.join(comps, reps.doc_id == comps.doc, "left").select("doc_id", *_SIG, "bands", F.coalesce("comp", "doc_id").alias("comp"))
-    rows = named.select("doc_id", "comp", *_SIG, F.explode("bands").alias("band"))
-    mixed = rows.groupBy("band").agg(F.count("*").alias("cnt"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band", "cnt")
-    send, search = _cross_pairs(n, least)
-    pairs = X.shuffled(rows.join(mixed, "band").mapInArrow(send, X.FRAMES), n).mapInArrow(search, "u long, v long")
-    more = X.stored(pairs.distinct().join(candidates, ["u", "v"], "left_anti"), "cross-candidates")
-    if more.limit(1).count():
-        links2 = X.stored(verified(more, src, percent, shingle), "verified")
-        name = comps.select(F.col("doc").alias("d"), "comp")
-        over = links2.join(name.withColumnsRenamed({"d": "u", "comp": "cu"}), "u", "left").join(name.withColumnsRenamed({"d": "v", "comp": "cv"}), "v", "left")
-        over = over.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-        joined = components(over).withColumnsRenamed({"doc": "c", "comp": "final"})
-        ends = comps.union(over.select(F.col("u").alias("doc"), F.col("u").alias("comp"))).union(over.select(F.col("v").alias("doc"), F.col("v").alias("comp"))).groupBy("doc").agg(F.min("comp").alias("comp"))
-        comps = X.stored(ends.join(joined, ends.comp == joined.c, "left").select("doc", F.coalesce("final", "comp").alias("comp")), "components")
+    for best in (True, True, False):
+        tries = candidates.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("tried"))
+        named = reps.join(comps, reps.doc_id == comps.doc, "left").select("doc_id", *_SIG, "bands", F.coalesce("comp", "doc_id").alias("comp")).join(tries, "doc_id", "left").withColumn("tried", F.coalesce("tried", F.lit(-1).cast("long")))
+        rows = named.select("doc_id", "comp", "tried", *_SIG, F.explode("bands").alias("band"))
+        mixed = rows.groupBy("band").agg(F.count("*").alias("cnt"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band", "cnt")
+        send, search = _cross_pairs(n, least, best)
+        pairs = X.shuffled(rows.join(mixed, "band").mapInArrow(send, X.FRAMES), n).mapInArrow(search, "u long, v long, e long" if best else "u long, v long")
+        fresh = (_best(pairs, TRIES) if best else pairs.distinct()).join(tested, ["u", "v"], "left_anti")
+        candidates = X.stored(fresh, "candidates")
+        if candidates.limit(1).count() == 0:
+            continue
+        comps = merged(comps, X.stored(verified(candidates, src, percent, shingle), "verified"))
+        tested = tested.union(candidates)
+        X.drop_shuffles(spark)
     X.drop_shuffles(spark)
     of = sets.join(comps, sets.rep == comps.doc, "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"))
     out = sigs.select("doc_id", "n", "h1", "h2").join(of, ["h1", "h2", "n"], "left")
