@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.model import EDGE_RULES, EXPANSIONS, NODE_TYPES, STOPWORDS, SUFFIXES, SYNONYMS
+from loomgraph.model import EDGE_RULES, NODE_TYPES, STOPWORDS, SUFFIXES, SYNONYMS
 from loomgraph.operators import kql, logs, quality, search, setops, similarity, temporal, traverse
 from loomgraph.plans import derive as D
+from loomgraph.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -488,13 +489,12 @@ def _score_all(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("communities", None)
 def _communities(spark: SparkSession, d: str) -> DataFrame:
-    s = similarity.score_all(D.geo(spark, d))
+    s = cut_lineage(similarity.score_all(D.geo(spark, d)))  # three readers
     return similarity.materialize(similarity.communities(s, 0.5), s)
 
 
 @_add("expand_terms", None)
 def _expand(spark: SparkSession, d: str) -> DataFrame:
-    assert EXPANSIONS
     return D.nodes(spark, d).select("id", F.array_join(X.expand_terms(F.col("name")), " ").alias("terms"))
 
 
