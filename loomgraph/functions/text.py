@@ -63,18 +63,16 @@ def word_shingles(c: Column, n: int = 3) -> Column:
     return F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(whole))
 
 
-def is_subsequence(needle: Column, hay: Column) -> Column:
-    """All characters of the needle occur in the haystack in order."""
-    step = lambda at, ch: F.when(at < 0, at).otherwise(F.when(F.locate_at(ch, hay, at) == 0, F.lit(-1)).otherwise(F.locate_at(ch, hay, at)))
-    return F.aggregate(F.split(needle, ""), F.lit(0), lambda at, ch: step(at, ch)) >= 0
-
-
 def _locate_at(ch: Column, hay: Column, at: Column) -> Column:
+    """Place of a character after a Column-valued place; 0 if there is none."""
     found = F.instr(F.substring(hay, at + 1, F.lit(2**31 - 1)), ch)
     return F.when(found > 0, found + at).otherwise(F.lit(0))
 
 
-F.locate_at = _locate_at  # a Column-valued start, which the built-in lacks
+def is_subsequence(needle: Column, hay: Column) -> Column:
+    """All characters of the needle occur in the haystack in order."""
+    step = lambda at, ch: F.when(at < 0, at).otherwise(F.when(_locate_at(ch, hay, at) == 0, F.lit(-1)).otherwise(_locate_at(ch, hay, at)))
+    return F.aggregate(F.split(needle, ""), F.lit(0), lambda at, ch: step(at, ch)) >= 0
 
 
 def textual_bonus(query: Column, value: Column) -> Column:

@@ -18,18 +18,19 @@ def _id(prefix: str, key: str):
     return F.concat(F.lit(prefix), F.col(key).cast("string"))
 
 
-_EMPTY = F.array().cast("array<string>")
+def _empty():
+    return F.array().cast("array<string>")
 
 
 def nodes(spark: SparkSession, d: str, parts: tuple[str, ...] = ("region", "nation", "supplier", "customer", "part", "orders")) -> DataFrame:
     """Nodes of the given tables; ord is a base of the table plus its key."""
     made = {
-        "region": lambda t: t.select(_id("concept:region_", "r_regionkey").alias("id"), F.lit("Concept").alias("type"), F.col("r_name").alias("name"), F.concat(F.lit("Region "), F.col("r_name")).alias("description"), F.lit("geo").alias("domain_area"), F.lit("U").alias("provenance"), F.lit(0.9).alias("confidence"), F.lit("").alias("created_at"), F.lit(0.5).alias("importance"), _EMPTY.alias("key_facts"), _EMPTY.alias("alias"), F.lit("").alias("valid_from"), (F.col("r_regionkey")).cast("long").alias("ord")),
-        "nation": lambda t: t.select(_id("concept:nation_", "n_nationkey").alias("id"), F.lit("Concept").alias("type"), F.col("n_name").alias("name"), F.lit("").alias("description"), F.lit("geo").alias("domain_area"), F.lit("D").alias("provenance"), F.lit(None).cast("double").alias("confidence"), F.lit("").alias("created_at"), F.lit(0.5).alias("importance"), F.array(F.concat(F.lit("region "), F.col("n_regionkey").cast("string"))).alias("key_facts"), _EMPTY.alias("alias"), F.lit("").alias("valid_from"), (F.col("n_nationkey") + 1000).cast("long").alias("ord")),
-        "supplier": lambda t: t.select(_id("interface:supplier_", "s_suppkey").alias("id"), F.lit("Interface").alias("type"), F.col("s_name").alias("name"), F.concat(F.lit("supplier of nation "), F.col("s_nationkey").cast("string")).alias("description"), F.lit("supply").alias("domain_area"), F.lit("A").alias("provenance"), F.lit(0.8).alias("confidence"), F.lit("").alias("created_at"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s_acctbal") / 10000)).alias("importance"), F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("ships goods"))).otherwise(_EMPTY).alias("key_facts"), _EMPTY.alias("alias"), F.lit("").alias("valid_from"), (F.col("s_suppkey") + 1_000_000_000).alias("ord")),
-        "customer": lambda t: t.select(_id("process:customer_", "c_custkey").alias("id"), F.lit("Process").alias("type"), F.col("c_name").alias("name"), F.lit("").alias("description"), F.col("c_mktsegment").alias("domain_area"), F.lit("U").alias("provenance"), F.lit(None).cast("double").alias("confidence"), F.lit("").alias("created_at"), F.lit(0.5).alias("importance"), _EMPTY.alias("key_facts"), F.array(F.concat(F.lit("client "), F.col("c_custkey").cast("string"))).alias("alias"), F.lit("").alias("valid_from"), (F.col("c_custkey") + 2_000_000_000).alias("ord")),
+        "region": lambda t: t.select(_id("concept:region_", "r_regionkey").alias("id"), F.lit("Concept").alias("type"), F.col("r_name").alias("name"), F.concat(F.lit("Region "), F.col("r_name")).alias("description"), F.lit("geo").alias("domain_area"), F.lit("U").alias("provenance"), F.lit(0.9).alias("confidence"), F.lit("").alias("created_at"), F.lit(0.5).alias("importance"), _empty().alias("key_facts"), _empty().alias("alias"), F.lit("").alias("valid_from"), (F.col("r_regionkey")).cast("long").alias("ord")),
+        "nation": lambda t: t.select(_id("concept:nation_", "n_nationkey").alias("id"), F.lit("Concept").alias("type"), F.col("n_name").alias("name"), F.lit("").alias("description"), F.lit("geo").alias("domain_area"), F.lit("D").alias("provenance"), F.lit(None).cast("double").alias("confidence"), F.lit("").alias("created_at"), F.lit(0.5).alias("importance"), F.array(F.concat(F.lit("region "), F.col("n_regionkey").cast("string"))).alias("key_facts"), _empty().alias("alias"), F.lit("").alias("valid_from"), (F.col("n_nationkey") + 1000).cast("long").alias("ord")),
+        "supplier": lambda t: t.select(_id("interface:supplier_", "s_suppkey").alias("id"), F.lit("Interface").alias("type"), F.col("s_name").alias("name"), F.concat(F.lit("supplier of nation "), F.col("s_nationkey").cast("string")).alias("description"), F.lit("supply").alias("domain_area"), F.lit("A").alias("provenance"), F.lit(0.8).alias("confidence"), F.lit("").alias("created_at"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s_acctbal") / 10000)).alias("importance"), F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("ships goods"))).otherwise(_empty()).alias("key_facts"), _empty().alias("alias"), F.lit("").alias("valid_from"), (F.col("s_suppkey") + 1_000_000_000).alias("ord")),
+        "customer": lambda t: t.select(_id("process:customer_", "c_custkey").alias("id"), F.lit("Process").alias("type"), F.col("c_name").alias("name"), F.lit("").alias("description"), F.col("c_mktsegment").alias("domain_area"), F.lit("U").alias("provenance"), F.lit(None).cast("double").alias("confidence"), F.lit("").alias("created_at"), F.lit(0.5).alias("importance"), _empty().alias("key_facts"), F.array(F.concat(F.lit("client "), F.col("c_custkey").cast("string"))).alias("alias"), F.lit("").alias("valid_from"), (F.col("c_custkey") + 2_000_000_000).alias("ord")),
         "part": lambda t: t.select(_id("datastore:part_", "p_partkey").alias("id"), F.lit("DataStore").alias("type"), F.col("p_name").alias("name"), F.concat(F.lit("part of "), F.col("p_brand")).alias("description"), F.lit("stock").alias("domain_area"), F.lit("D").alias("provenance"), F.lit(0.7).alias("confidence"), F.lit("").alias("created_at"), F.lit(0.5).alias("importance"), F.array(F.col("p_type"), F.concat(F.lit("size "), F.col("p_size").cast("string"))).alias("key_facts"), F.array("p_brand").alias("alias"), F.lit("").alias("valid_from"), (F.col("p_partkey") + 3_000_000_000).alias("ord")),
-        "orders": lambda t: t.select(_id("decision:order_", "o_orderkey").alias("id"), F.lit("Decision").alias("type"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderstatus").alias("description"), F.col("o_orderpriority").alias("domain_area"), F.lit("U").alias("provenance"), F.lit(1.0).alias("confidence"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.when(F.col("o_orderpriority").startswith("1"), 0.9).otherwise(0.4).alias("importance"), _EMPTY.alias("key_facts"), _EMPTY.alias("alias"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("valid_from"), (F.col("o_orderkey") + 4_000_000_000).alias("ord")),
+        "orders": lambda t: t.select(_id("decision:order_", "o_orderkey").alias("id"), F.lit("Decision").alias("type"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderstatus").alias("description"), F.col("o_orderpriority").alias("domain_area"), F.lit("U").alias("provenance"), F.lit(1.0).alias("confidence"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.when(F.col("o_orderpriority").startswith("1"), 0.9).otherwise(0.4).alias("importance"), _empty().alias("key_facts"), _empty().alias("alias"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("valid_from"), (F.col("o_orderkey") + 4_000_000_000).alias("ord")),
     }
     out = None
     for name in parts:
