@@ -90,7 +90,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     src = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("size"))
     firsts = src.groupBy("sha1", "size").agg(F.min("page_id").alias("first"))
     revisit = (F.col("page_id") != F.col("first")) & (F.col("size") >= min_bytes)
-    rows = src.join(firsts, ["sha1", "size"]).select("page_id", "url", "sha1", "size", F.when(~revisit, F.col("html")).alias("html"), F.when(revisit, F.col("first")).alias("refers_to"))
+    rows = src.hint("merge").join(firsts, ["sha1", "size"]).select("page_id", "url", "sha1", "size", F.when(~revisit, F.col("html")).alias("html"), F.when(revisit, F.col("first")).alias("refers_to"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, data, cdx = TaskContext.get().partitionId(), 0, bytearray(), []
@@ -249,4 +249,4 @@ def read_records(archives: DataFrame, found: DataFrame) -> DataFrame:
                     columns = [pa.array([g[k] for g in got], t) for k, t in (("page_id", pa.int64()), ("url", pa.string()), ("size", pa.int64()), ("digest", pa.string()), ("type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()))]
                     yield pa.record_batch(columns, names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
-    return archives.select("archive", "data").join(ranges, "archive").select("data", "ranges").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return archives.select("archive", "data").hint("merge").join(ranges, "archive").select("data", "ranges").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
