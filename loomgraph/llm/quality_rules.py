@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import exchange as X
 from loomgraph.llm import kernel as K
-from loomgraph.llm.line_dedup import arrow_schema, with_ids
+from loomgraph.llm.line_dedup import _mark, arrow_schema, with_ids
 
 MIN_DOCS, SHARE, MIN_WORDS, MIN_LEFT, MAX_REPEAT = 200, 0.1, 10, 0.2, 0.2
 BROADCAST_LINES = 500_000
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
-_LINE, _OFTEN = 0, 1
+_LINE, _OFTEN, _DROP, _TEXT = 0, 1, 2, 9
 _BLOCK = 400_000
 
 
@@ -44,7 +44,7 @@ def _host_hash(column: pa.Array) -> np.ndarray:
 
 
 def _lines(part: pa.RecordBatch, host: str) -> tuple:
-    """(row, words, key) of the lines that have a word; the key tells host and line."""
+    """(row, words, key) of the lines that have a word, and where they are; the key tells host and line."""
     data, offs = K.text_bytes(part.column("text"))
     start, end, at = K.lines(data, offs)
     lo, hi = K.stripped(data, start, end)
@@ -55,7 +55,7 @@ def _lines(part: pa.RecordBatch, host: str) -> tuple:
     low = K.LOWER[data]
     k1, k2 = (K.RangeHash(s).of(low).ranges(lo[pick], hi[pick]) for s in (0, 1))
     hosts = _host_hash(part.column(host))
-    return row, n_words, K.mix(k1 + hosts[row]), k2, hosts
+    return row, n_words, K.mix(k1 + hosts[row]), k2, hosts, (data, start, end, at, pick)
 
 
 def features(column: pa.Array) -> dict[str, np.ndarray]:
@@ -105,7 +105,7 @@ def _count(n: int, host: str):
 
         for part in K.slices(batches):
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            row, _, k1, k2, hosts = _lines(part, host)
+            row, _, k1, k2, hosts, _ = _lines(part, host)
             order = np.lexsort((k2, k1, row))
             once = order[K.group_starts(row[order], k1[order], k2[order])]
             held.append((k1[once], k2[once], hosts[row[once]], ids[row[once]]))
@@ -165,7 +165,8 @@ def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sha
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_frequent_words
     (words in lines over the limits, where an earlier document of the host holds the line too),
-    base_failed, kept and the columns in ``keep``.  A document is kept unless it has fewer than 10
+    base_failed, kept and the columns in ``keep``; ``text`` there comes without those lines, the rest
+    joined by \\n.  A document is kept unless it has fewer than 10
     words, more than 20 % of its words in repeated 5-word windows, or, without its frequent lines,
     fewer than 10 words or less than a fifth of its words.  A null or empty text has no words and
     fails.  A null host is a host of its own.  Rows without doc_id are left out; repeated rows count
@@ -177,67 +178,102 @@ def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sha
     few = often.limit(broadcast_lines + 1).count() <= broadcast_lines
     names = [(c, pa.int64()) for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_())]
     schema, ddl = arrow_schema(src, keep, names)
+
+    def judged(part: pa.RecordBatch, found) -> pa.RecordBatch:
+        ids, text = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("text")
+        made = features(text)
+        made["n_frequent_words"] = np.zeros(len(ids), np.int64)
+        if found is not None:
+            row, words, k1, k2, _, where = _lines(part, "_host")
+            hit = found(k1, k2, ids[row])
+            made["n_frequent_words"] = np.bincount(row[hit], words[hit], len(ids)).astype(np.int64)
+            if "text" in keep:
+                text = _without(text, where, hit)
+        made["base_failed"], made["kept"] = _verdict(made, made["n_frequent_words"])
+        made["doc_id"] = ids
+        return pa.record_batch([pa.array(made[f.name]) if f.name in made else (text if f.name == "text" else part.column(f.name)).cast(f.type) for f in schema], schema=schema)
+
     if few:
         t = often.select("k1", "k2", "first_doc").toArrow()
         k1, k2, first = (t.column(c).to_numpy() for c in ("k1", "k2", "first_doc"))
         order = np.lexsort((k2.view(K.U64), k1.view(K.U64)))
         sent = spark.sparkContext.broadcast((k1.view(K.U64)[order], k2.view(K.U64)[order], first[order]))
-        lost_words = None
-    else:
-        sent, n = None, X.bucket_count(spark)
 
-        def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = X.Sender(n)
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = (lambda k1, k2, doc: _hits(sent.value, k1, k2, doc)) if len(sent.value[0]) else None
             for part in K.slices(batches):
-                row, words, k1, k2, _ = _lines(part, "_host")
-                yield from out.add(9, k1, {"k1": k1, "k2": k2, "doc": part.column("doc_id").to_numpy()[row], "w": words.astype(np.int32)})
-            yield from out.flush()
-
-        def table(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = X.Sender(n)
-            for part in batches:
-                k1, k2, first = (part.column(c).to_numpy() for c in ("k1", "k2", "first_doc"))
-                yield from out.add(_OFTEN, k1.view(K.U64), {"k1": k1.view(K.U64), "k2": k2.view(K.U64), "doc": first})
-            yield from out.flush()
-
-        def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: list | tuple = []
-            for _, tag, frame in X.frames(batches):
-                if tag == _OFTEN:
-                    known.append(X.unpack(frame))
-                    continue
-                if isinstance(known, list):
-                    if not known:
-                        return
-                    r = X.joined(known)
-                    order = np.lexsort((r["k2"], r["k1"]))
-                    known = (r["k1"][order], r["k2"][order], r["doc"][order])
-                r = X.joined([X.unpack(frame)])
-                hit = _hits(known, r["k1"], r["k2"], r["doc"])
-                yield pa.record_batch([pa.array(r["doc"][hit]), pa.array(r["w"][hit].astype(np.int64))], names=["doc_id", "lost"])
-
-        asked = src.select("doc_id", "text", "_host").mapInArrow(ask, X.FRAMES).union(often.select("k1", "k2", "first_doc").mapInArrow(table, X.FRAMES))
-        lost_words = X.shuffled(asked, n).mapInArrow(answer, "doc_id long, lost long").groupBy("doc_id").agg(F.sum("lost").alias("lost"))
+                yield judged(part, found)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return src.mapInArrow(run, ddl)
+    n = X.bucket_count(spark)
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = X.Sender(n)
         for part in K.slices(batches):
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            made = features(part.column("text"))
-            made["n_frequent_words"] = np.zeros(len(ids), np.int64)
-            if sent is not None and len(sent.value[0]):
-                row, words, k1, k2, _ = _lines(part, "_host")
-                hit = _hits(sent.value, k1, k2, ids[row])
-                made["n_frequent_words"] = np.bincount(row[hit], words[hit], len(ids)).astype(np.int64)
-            made["base_failed"], made["kept"] = _verdict(made, made["n_frequent_words"])
-            made["doc_id"] = ids
-            yield pa.record_batch([pa.array(made[f.name]) if f.name in made else part.column(f.name).cast(f.type) for f in schema], schema=schema)
-
-    out = src.mapInArrow(run, ddl)
-    if lost_words is not None:
-        left = F.col("n_words") - F.col("n_frequent_words")
-        out = out.drop("n_frequent_words").join(lost_words, "doc_id", "left").withColumn("n_frequent_words", F.coalesce("lost", F.lit(0).cast("long"))).drop("lost")
-        out = out.withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS) & (left >= MIN_LEFT * F.col("n_words"))).select(*[f.name for f in schema])
-    return out
+            row, _, k1, k2, _, _ = _lines(part, "_host")
+            yield from out.add(_TEXT, k1, {"k1": k1, "k2": k2, "doc": part.column("doc_id").to_numpy()[row]})
+        yield from out.flush()
+
+    def table(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = X.Sender(n)
+        for part in batches:
+            k1, k2, first = (part.column(c).to_numpy() for c in ("k1", "k2", "first_doc"))
+            yield from out.add(_OFTEN, k1.view(K.U64), {"k1": k1.view(K.U64), "k2": k2.view(K.U64), "doc": first})
+        yield from out.flush()
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list | tuple = []
+        out = X.Sender(n)
+        for _, tag, frame in X.frames(batches):
+            if tag == _OFTEN:
+                known.append(X.unpack(frame))
+                continue
+            if isinstance(known, list):
+                if not known:
+                    return
+                r = X.joined(known)
+                order = np.lexsort((r["k2"], r["k1"]))
+                known = (r["k1"][order], r["k2"][order], r["doc"][order])
+            r = X.joined([X.unpack(frame)])
+            hit = _hits(known, r["k1"], r["k2"], r["doc"])
+            doc = r["doc"][hit]
+            yield from out.add(_DROP, K.doc_hash(doc), {"mark": _mark(doc, r["k1"][hit], r["k2"][hit])})
+        yield from out.flush()
+
+    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: list | np.ndarray = []
+        for _, tag, frame in X.frames(batches):
+            if tag == _DROP:
+                marks.append(X.unpack(frame))
+                continue
+            if isinstance(marks, list):
+                marks = np.unique(X.joined(marks)["mark"]) if marks else np.zeros(0, K.U64)
+            found = (lambda k1, k2, doc, marks=marks: _marked(marks, _mark(doc, k1, k2))) if len(marks) else None
+            for part in K.slices([X.unpack(frame)]):
+                yield judged(part, found)
+
+    asked = src.select("doc_id", "text", "_host").mapInArrow(ask, X.FRAMES).union(often.select("k1", "k2", "first_doc").mapInArrow(table, X.FRAMES))
+    drops = X.shuffled(asked, n).mapInArrow(answer, X.FRAMES)
+    texts = X.text_frames(src, n, extra=("_host", *(c for c in keep if c != "text")), tag=_TEXT)
+    return X.shuffled(drops.union(texts), n).mapInArrow(apply, ddl)
+
+
+def _marked(marks: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(marks[np.minimum(np.searchsorted(marks, m), len(marks) - 1)] == m)
+
+
+def _without(text: pa.Array, where: tuple, hit: np.ndarray) -> pa.Array:
+    """The texts without the lines that are hit; what is left is joined by \\n."""
+    if not len(hit):
+        return text
+    data, start, end, at, pick = where
+    drop = np.zeros(len(start), bool)
+    drop[pick[hit]] = True
+    lost = np.diff(np.concatenate([[0], np.cumsum(drop)])[at])
+    raw, out = data.tobytes(), text.to_pylist()
+    for i in np.flatnonzero(lost):
+        out[i] = b"\n".join(raw[start[j] : end[j]] for j in range(at[i], at[i + 1]) if not drop[j]).decode()
+    return pa.array(out, text.type)
 
 
 def _hits(known: tuple, k1: np.ndarray, k2: np.ndarray, doc: np.ndarray) -> np.ndarray:
