@@ -150,6 +150,33 @@ def test_fingerprints(docs):
     assert {(r.doc_id, r.near_id) for r in fingerprints.near_pairs(docs).collect()} == {(8, 7)}
 
 
+def test_near_pairs_beyond_smallest(spark):
+    """Two near documents are linked although a smaller one below the threshold is first in all bands they share."""
+    import numpy as np
+
+    rnd = random.Random(5)
+    words = [f"q{i}" for i in range(260)]
+    late = {1000: " ".join(words), 1001: " ".join([*words[:-12], *(f"z{i}" for i in range(12))]), 1002: " ".join(words)}
+    sets = lambda t: {" ".join(w[i : i + 5]) for w in [t.split()] for i in range(len(w) - 4)}
+    bands = lambda t: fingerprints.M.minima(*fingerprints.M.shingles(pa.array([t])), 64).reshape(16, 4)
+    meet = lambda a, b: (bands(a) == bands(b)).all(axis=1)
+    todo, rows = meet(late[1000], late[1001]), dict(late)
+    for i in range(1000):
+        w = list(words)
+        for at in range(rnd.randrange(40), 260, 26):
+            w[at] = f"y{i}x{at}"
+        hit = meet(" ".join(w), late[1000]) & todo
+        if hit.any() and len(sets(" ".join(w)) & sets(late[1000])) < 0.7 * len(sets(" ".join(w)) | sets(late[1000])):
+            rows[i], todo = " ".join(w), todo & ~hit
+        if not todo.any():
+            break
+    assert not np.any(todo)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.near_id): r.jaccard for r in fingerprints.near_pairs(docs).collect()}
+    a, b = sets(late[1001]), sets(late[1000])
+    assert got[1001, 1000] == len(a & b) / len(a | b) and got[1002, 1000] == 1.0
+
+
 def test_pipeline(spark):
     """Each stage against brute force on what its predecessor kept."""
     import corpus_pipeline as C
