@@ -156,7 +156,7 @@ def _answer(n: int):
                 w, p = w_at[i : i + len(m[1])], p_at[j : j + len(m[4])]
                 i, j = i + len(w), j + len(p)
                 f = int(m[0][0])
-                yield X.row(int(K.doc_hash(np.array([f]))[0] % K.U64(n)), _ASK, _message(m[0], np.array([shard], np.int64), *(s[w].astype(np.int32) for s in w_sums), *(s[p].astype(np.int32) for s in p_sums)))
+                yield X.row(int(K.doc_hash(np.array([f]))[0] % K.U64(n)), _ASK, _message(m[0], np.array([shard], np.int64), *(s[w] for s in w_sums), *(s[p] for s in p_sums)))
 
     return run
 
@@ -168,14 +168,14 @@ def _join(n: int):
         answers: dict[int, list] = {}
         for _, tag, frame in X.frames(batches):
             if tag == _ASK:
-                m = _opened(frame, np.int64, np.int64, *[np.int32] * 4)
+                m = _opened(frame, *[np.int64] * 6)
                 answers.setdefault(int(m[0][0]), []).append(m)
                 continue
             (f,) = struct.unpack_from("<q", frame)
             text = frame[8:]
             ids, tok, before, offs = _tokens(text)
             words, at, ctx, pairs, pair_at = _distinct(tok, before)
-            got = [np.zeros(len(words), np.int32), np.zeros(len(words), np.int32), np.zeros(len(pairs), np.int32), np.zeros(len(pairs), np.int32)]
+            got = [np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)]
             order_w, order_p = np.argsort(words % K.U64(n), kind="stable"), np.argsort(pairs % K.U64(n), kind="stable")
             i = j = 0
             for m in sorted(answers.pop(f, ()), key=lambda m: int(m[1][0])):
@@ -270,7 +270,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             for frame, counts in zip(batch.column("text"), batch.column("counts"), strict=True):
                 ids, tok, before, offs = _tokens(frame.as_py())
                 _, at, ctx, _, pair_at = _distinct(tok, before)
-                words, pairs = _opened(counts.as_py(), np.int32, np.int32)
+                words, pairs = _opened(counts.as_py(), np.int64, np.int64)
                 c_w, c_v, c_vw = words[at].astype(float), words[ctx].astype(float), pairs[pair_at].astype(float)
                 weight = lam[bucket_of(c_v)]
                 p = weight[:, 0] * c_vw / np.maximum(c_v, 1) + weight[:, 1] * c_w / max(total, 1) + weight[:, 2] / (distinct + 1)

@@ -150,6 +150,23 @@ def test_fingerprints(docs):
     assert {(r.doc_id, r.near_id) for r in fingerprints.near_pairs(docs).collect()} == {(8, 7)}
 
 
+def test_corpus_counts_beyond_32_bits():
+    """Counts of two blocks whose sum passes 2**31 come back whole, to the rows that are scored."""
+    import numpy as np
+
+    from loomgraph.llm import exchange as X
+
+    text = X.pack(pa.record_batch([pa.array([1, 2, 3]), pa.array(["a b a", "c a b", "b b"], pa.large_string())], names=["doc_id", "text"]))
+    (ask,) = lm_scoring._ask(1)([pa.record_batch([pa.array([0]), pa.array([text], pa.binary())], names=["f", "text"])])
+    m = lm_scoring._opened(ask.column("frame")[0].as_py(), *lm_scoring._ASKED)
+    big = [np.full(len(x), 2_000_000_000, x.dtype) if x.dtype == np.int32 else x for x in m]
+    asked = [X.row(0, lm_scoring._ASK, lm_scoring._message(np.array([f], np.int64), *big[1:])) for f in (0, 1)]
+    answers = [r for r in lm_scoring._answer(1)(asked) if r.column("tag")[0].as_py() == lm_scoring._ASK]
+    (out,) = lm_scoring._join(1)([*answers, X.row(0, lm_scoring._TEXT, lm_scoring.struct.pack("<q", 0) + text)])
+    words, pairs = lm_scoring._opened(out.column("counts")[0].as_py(), np.int64, np.int64)
+    assert set(words) == set(pairs) == {8_000_000_000} and len(words) == len(m[1]) and len(pairs) == len(m[4])
+
+
 def test_near_pairs_beyond_smallest(spark):
     """Two near documents are linked although a smaller one below the threshold is first in all bands they share."""
     import numpy as np
