@@ -161,26 +161,74 @@ def test_near(docs, rows):
 
 
 def test_near_blocks(monkeypatch):
-    """A large band is searched in blocks and gives the same pairs."""
+    """A large band is searched in blocks and joins the same clusters."""
     import pyarrow as pa
 
-    from loomgraph.llm import exchange as X
-
     n, rng = 60, np.random.default_rng(1)
-    sig = rng.integers(0, 3, (n, 4)).astype(np.int64)
-    batch = pa.record_batch([pa.array(np.full(n, 7)), pa.array(np.full(n, n)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.full(n, -1)), *(pa.array(sig[:, i]) for i in range(4))], names=["band", "cnt", "doc_id", "comp", "tried", "s0", "s1", "s2", "s3"])
+    sig = rng.integers(0, 64, (n, 4)).astype(np.int64)
+    batch = pa.record_batch([pa.array(np.full(n, 7)), pa.array(np.full(n, n)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array(np.full(n, 9)), *(pa.array(sig[:, i]) for i in range(4))], names=["band", "cnt", "doc_id", "cluster", "n", "s0", "s1", "s2", "s3"])
 
-    def pairs(group):
+    def clusters(group):
         monkeypatch.setattr(near_dedup, "SEARCH_GROUP", group)
-        send, search = near_dedup._cross_pairs(3, 120, False)
-        frames = list(send([batch]))
-        out = set()
+        send, search = near_dedup._forest(3, 123, 75)
+        frames, root, links = list(send([batch])), list(range(n)), 0
         for b in range(3):
             for t in search([f for f in frames if f.column("b")[0].as_py() == b]):
-                out |= set(zip(t.column("u").to_pylist(), t.column("v").to_pylist(), strict=True))
-        return out
+                for u, v in zip(t.column("u").to_pylist(), t.column("v").to_pylist(), strict=True):
+                    links += 1
+                    root = [root[v] if x == root[u] else x for x in root]
+        return [root.index(x) for x in root], links
+
+    few, many = clusters(7), clusters(4096)
+    assert few[0] == many[0] and many[1] == n - len(set(many[0])) and 1 < len(set(many[0])) < n
+
+
+def test_near_family(spark, monkeypatch):
+    """A family with links at and around the threshold, in blocks and units of a few documents."""
+    rnd = random.Random(5)
+    base = [f"f{i}" for i in range(200)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rnd.randint(1, 9)):
+            w[rnd.randrange(200)] = f"x{rnd.randrange(500)}"
+        rows.append((rnd.randrange(10**6) * 200 + i, " ".join(w)))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(196)} for d, t in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
 
-    assert pairs(7) == pairs(4096) and pairs(7) and X.FRAMES
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {d: find(d) for d in sets}
+    assert len(set(want.values())) > 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for shingles, unit in ((1 << 20, 512), (3000, 2)):
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+        monkeypatch.setattr(near_dedup, "UNIT", unit)
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
+def test_hash_structure(spark):
+    """Lines and words that any polynomial modulo 2**64 confuses stay apart."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    docs = spark.createDataFrame([(1, a), (2, a), (3, a), (4, b), (5, b + "\n" + b + "\n" + a)], "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs, min_docs=4).collect()} == {1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert {r.doc_id: r.n_dup_lines for r in quality_rules.quality(docs.withColumn("source", F.lit("s"))).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+    few = docs.where("doc_id in (3, 4)").select("doc_id", F.array_join(F.array_repeat("text", 20), " ").alias("text"))
+    assert [r.n_removed for r in substring_dedup.dedup_substrings(few).orderBy("doc_id").collect()] == [0, 0]
+    from loomgraph.llm import lm_scoring
+
+    got = lm_scoring.score_documents(docs.where("doc_id in (1, 4)")).collect()
+    assert all(r.n_known == 2 * (not r.held_out) + 1 * r.held_out or r.n_known == 2 for r in got)
 
 
 def test_quality(docs, rows):
