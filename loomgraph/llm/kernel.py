@@ -1,8 +1,8 @@
 """Vectorised numpy kernels over Arrow string columns.
 
 All kernels work on the UTF-8 bytes of a whole slice of rows at once: words, lines and windows are
-index ranges into one byte array, and hashes of ranges come from prefix sums of a polynomial
-modulo 2**64, so no Python object is made for a word or a line.
+index ranges into one byte array, and hashes of ranges come from prefix sums, so no Python object is
+made for a word or a line.
 """
 
 from __future__ import annotations
@@ -33,37 +33,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class RangeHash:
-    """Hashes of byte ranges; ``of(data)`` must come before ``ranges``.
+def symbol_values(seed: int = 0) -> np.ndarray:
+    """A random 64-bit value for each byte."""
+    return mix(np.arange(1, 257, dtype=U64) * U64(_ODD[1 - seed]) + U64(seed + 1))
 
-    The sum of v[c_i] * B**i over a range times B**-start does not depend on the place.
-    """
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, seed: int = 0):
-        self.seed = seed
-        self.base = _ODD[seed] | 1
-        self.values = mix(np.arange(1, 257, dtype=U64) * U64(_ODD[1 - seed]) + U64(seed + 1))
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = self._powers.get(self.seed)
-        if have is None or len(have[0]) < n:
-            size = max(n, SLICE_BYTES + 1024)
-            up, down = np.full(size, self.base, U64), np.full(size, pow(self.base, -1, 1 << 64), U64)
-            up[0] = down[0] = 1
-            have = self._powers[self.seed] = (np.cumprod(up), np.cumprod(down))
-        return have
-
-    def of(self, data: np.ndarray) -> RangeHash:
-        up, _ = self.powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(self.values[data] * up[: len(data)], out=self.sums[1:])
-        return self
-
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = self.powers(len(self.sums))
-        return mix((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(U64) * U64(_ODD[0]))
+_place_keys: dict[int, np.ndarray] = {}
+
+
+def _keys_of_places(seed: int, n: int) -> np.ndarray:
+    have = _place_keys.get(seed)
+    if have is None or len(have) < n:
+        have = _place_keys[seed] = mix(mix(np.arange(1, max(n, 1 << 16) + 1, dtype=U64)) + U64(_ODD[seed]))
+    return have
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, *seeds: int) -> list[np.ndarray]:
+    """A hash for each seed of byte ranges that lie in order and do not overlap.
+
+    Multilinear: each place in a range has a random 64-bit key, each byte a random value, and the sum
+    of their products modulo 2**64 is finished with the length.  Two different ranges of a length
+    agree where a sum of random multiples vanishes, whatever their structure; a polynomial modulo
+    2**64 has texts that agree under every base.  With two seeds a collision needs 128 equal bits.
+    """
+    if not len(start):
+        return [np.zeros(0, U64) for _ in seeds]
+    size = end - start
+    most = int(size.max(initial=0))
+    gap = np.diff(np.append(start, len(data)))
+    place = np.arange(start[0], len(data))
+    place -= np.repeat(start, gap)
+    if int(gap.max()) > most:
+        np.minimum(place, most, out=place)  # what lies between ranges
+    body, out = data[start[0] :], []
+    lo, hi = start - start[0], end - start[0]
+    for seed in seeds:
+        sums = np.zeros(len(body) + 1, U64)
+        np.cumsum(symbol_values(seed)[body] * _keys_of_places(seed, most + 1)[place], out=sums[1:])
+        out.append(mix(sums[hi] - sums[lo] + size.astype(U64) * U64(_ODD[0])))
+    return out
 
 
 def rolled(h: np.ndarray, k: int, factor: int = 0xA24BAED4963EE407) -> np.ndarray:

@@ -44,7 +44,7 @@ def line_keys(column: pa.Array, min_chars: int) -> tuple:
     points = K.code_points(data)
     pick = np.flatnonzero(points[hi] - points[lo] >= min_chars)
     low = K.LOWER[data]
-    k1, k2 = (K.RangeHash(seed).of(low).ranges(lo[pick], hi[pick]) for seed in (0, 1))
+    k1, k2 = K.range_hashes(low, lo[pick], hi[pick], 0, 1)
     return data, start, end, at, pick, k1, k2
 
 

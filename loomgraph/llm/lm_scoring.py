@@ -64,7 +64,7 @@ def _tokens(frame: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     for part in K.slices([batch]):
         data, offs = K.text_bytes(part.column("text"))
         start, end, at = K.words(data, offs)
-        h = K.RangeHash(0).of(K.LOWER[data]).ranges(start, end)
+        (h,) = K.range_hashes(K.LOWER[data], start, end, 0)
         toks.append(np.insert(h, at[1:], END))
         counts.append(np.diff(at) + 1)
     tok, count = np.concatenate(toks), np.concatenate(counts)

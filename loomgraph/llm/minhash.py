@@ -17,7 +17,7 @@ def shingles(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     """
     data, offs = K.text_bytes(column)
     start, end, at = K.words(data, offs)
-    h = K.RangeHash(0).of(K.LOWER[data]).ranges(start, end)
+    (h,) = K.range_hashes(K.LOWER[data], start, end, 0)
     n = np.diff(at)
     grams = K.rolled(h, k)
     row = np.repeat(np.arange(len(n)), n)

@@ -35,9 +35,8 @@ _BLOCK = 400_000
 
 def _host_hash(column: pa.Array) -> np.ndarray:
     """64-bit hash of each host; null is a host of its own."""
-    out = K.RangeHash(1)
     data, offs = K.text_bytes(column)
-    h = out.of(data).ranges(offs[:-1], offs[1:])
+    (h,) = K.range_hashes(data, offs[:-1], offs[1:], 1)
     if column.null_count:
         h[column.is_null().to_numpy(zero_copy_only=False)] = K.U64(7)
     return h
@@ -53,7 +52,7 @@ def _lines(part: pa.RecordBatch, host: str) -> tuple:
     n_words = np.searchsorted(first, hi[pick]) - np.searchsorted(first, lo[pick])
     row = K.owners(at, pick)
     low = K.LOWER[data]
-    k1, k2 = (K.RangeHash(s).of(low).ranges(lo[pick], hi[pick]) for s in (0, 1))
+    k1, k2 = K.range_hashes(low, lo[pick], hi[pick], 0, 1)
     hosts = _host_hash(part.column(host))
     return row, n_words, K.mix(k1 + hosts[row]), k2, hosts, (data, start, end, at, pick)
 
@@ -65,15 +64,14 @@ def features(column: pa.Array) -> dict[str, np.ndarray]:
     points, rows = K.code_points(data), len(offs) - 1
     count = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks)])[offs])
     out = {"n_words": np.diff(at), "word_chars": np.diff(points[offs]) - count(WHITE_AT[data]), "n_symbols": count(_SYMBOLS[data])}
-    hashed = K.RangeHash(0).of(data)
     lo, hi, cut = K.lines(data, offs)
     inked = np.searchsorted(start, hi) > np.searchsorted(start, lo)
-    h, row = hashed.ranges(lo, hi), np.repeat(np.arange(rows), np.diff(cut))
-    h, row = h[inked], row[inked]
-    order = np.lexsort((h, row))
-    again = ~K.group_starts(row[order], h[order])
+    row = np.repeat(np.arange(rows), np.diff(cut))[inked]
+    h1, h2 = K.range_hashes(data, lo[inked], hi[inked], 0, 1)
+    order = np.lexsort((h2, h1, row))
+    again = ~K.group_starts(row[order], h1[order], h2[order])
     out["n_dup_lines"] = np.bincount(row[order][again], minlength=rows)
-    grams = K.rolled(hashed.ranges(start, end), 5)
+    grams = K.rolled(K.range_hashes(data, start, end, 0)[0], 5)
     word_row = np.repeat(np.arange(rows), np.diff(at))
     whole = np.flatnonzero(at[1:][word_row[: len(grams)]] - np.arange(len(grams)) >= 5)
     order = whole[np.lexsort((grams[whole], word_row[whole]))]

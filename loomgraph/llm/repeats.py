@@ -36,13 +36,13 @@ Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 def byte_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offs = K.text_bytes(column)
-    return K.RangeHash(0).values[data], offs
+    return K.symbol_values()[data], offs
 
 
 def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offs = K.text_bytes(column)
     start, end, at = K.words(data, offs)
-    return K.RangeHash(0).of(data).ranges(start, end), at
+    return K.range_hashes(data, start, end, 0)[0], at
 
 
 def _runs(values: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple:
@@ -59,10 +59,9 @@ def _runs(values: np.ndarray, offs: np.ndarray, length: int, k: int) -> tuple:
     at = np.flatnonzero(room >= length)
     new = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(anchor[at], prepend=-1) != 0))
     start, count = at[new], np.diff(np.append(new, len(at)))
-    up, down = K.RangeHash(1).powers(n + 1)
-    sums = np.concatenate([np.zeros(1, K.U64), np.cumsum(values * up[:n])])
-    end = start + count - 1 + length
-    content = K.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(K.U64))
+    # A run's first and last window overlap or touch, as it has fewer windows than ``length``.
+    window = K.rolled(values, length, _F2)
+    content = K.mix(window[start] + K.mix(window[start + count - 1] + count.astype(K.U64)))
     row = K.owners(offs, start)
     return row, start - offs[row], count, grams[anchor[start]], content
 
