@@ -176,6 +176,12 @@ def arrow_schema(df: DataFrame, names: tuple[str, ...], more: list[tuple[str, pa
     return schema, ", ".join([f"`{n}` {ddl[t]}" for n, t in more] + [f"`{c}` {kinds[c].dataType.simpleString()}" for c in names])
 
 
+def check_names(keep: tuple[str, ...], results: list[tuple[str, pa.DataType]]) -> None:
+    """Columns that are carried along can't have the name of a result; only the text goes by its own."""
+    if bad := {n for n, _ in results if n != "text"} & set(keep):
+        raise ValueError(f"columns to keep have names of results: {sorted(bad)}")
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drops lines found in at least ``min_docs`` documents from all but the one with the largest doc_id.
 
@@ -185,11 +191,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     repeat inside one document count once and are dropped or kept together.  An empty table gives
     an empty table; columns not named in ``keep`` are not read.
     """
+    names = [("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]
+    check_names(keep, names)
     src = with_ids(docs, *keep)
     n = X.bucket_count(docs.sparkSession)
     refs = src.select("doc_id", "text").mapInArrow(references(n, min_docs, min_chars), X.FRAMES)
     drops = X.shuffled(refs, n).mapInArrow(_shards(n, min_docs), X.FRAMES)
-    schema, ddl = arrow_schema(src, keep, [("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+    schema, ddl = arrow_schema(src, keep, names)
     return X.shuffled(drops.union(X.text_frames(src, n, extra=keep, tag=_TEXT)), n).mapInArrow(_apply(min_chars, schema), ddl)
 
 

@@ -53,7 +53,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(t
 l AS (SELECT *, len({_WORDS.format('line')}) AS n FROM ({_KEYED})),
 dup AS (SELECT doc_id, count(*) FILTER (r > 1) AS n_dup_lines FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM l WHERE n > 0) GROUP BY doc_id),
 host AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-f AS (SELECT l.source, k, min(doc_id) AS first FROM l JOIN host ON host.source IS NOT DISTINCT FROM l.source WHERE l.n > 0 GROUP BY l.source, k, host.n HAVING count(DISTINCT doc_id) >= 200 AND count(DISTINCT doc_id) > 0.1 * host.n),
+f AS (SELECT l.source, k, min(doc_id) AS first FROM l JOIN host ON host.source IS NOT DISTINCT FROM l.source WHERE l.n > 0 GROUP BY l.source, k, host.n HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) > 0.02 * host.n),
 lost AS (SELECT doc_id, sum(l.n) AS lost FROM l JOIN f ON f.k = l.k AND f.source IS NOT DISTINCT FROM l.source WHERE doc_id > first GROUP BY doc_id),
 g AS (SELECT doc_id, j, count(*) OVER (PARTITION BY doc_id, win) > 1 AS twice FROM (SELECT doc_id, j, array_to_string(ws[j:j + 4], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS j FROM d WHERE len(ws) >= 5))),
 w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j FROM d),

@@ -2,13 +2,12 @@
 
 A line (stripped, A-Z lower-cased, hashed) that many documents of one host hold is that host's
 furniture: it is taken out of all but the first of them, and documents that keep too little are
-rejected.  Counts run over all documents.  Map tasks count a line once a block of documents, so a
-shard gets one row a block for a line however frequent it is.
+rejected.  Counts run over all documents.  Map tasks work in blocks of documents: a block sends a
+line once to the line's shard, however frequent it is, and hears once whether it is over the limit;
+which of its documents hold the line stays with the block.
 
 A line is over the limit when it is in at least ``min_docs`` documents of its host and in more than
-``share`` of all of them, so a host has at most 1/share times as many such lines as its documents
-have lines on average.  The table of such lines is sent to all tasks only while it has at most
-``broadcast_lines`` rows; beyond, lines and documents meet by hash.
+``share`` of all of them.
 """
 
 from __future__ import annotations
@@ -17,19 +16,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import exchange as X
 from loomgraph.llm import kernel as K
-from loomgraph.llm.line_dedup import _mark, arrow_schema, with_ids
+from loomgraph.llm.line_dedup import _mark, arrow_schema, check_names, with_ids
 
-MIN_DOCS, SHARE, MIN_WORDS, MIN_LEFT, MAX_REPEAT = 200, 0.1, 10, 0.2, 0.2
-BROADCAST_LINES = 500_000
+MIN_DOCS, SHARE, MIN_WORDS, MIN_LEFT, MAX_REPEAT = 5, 0.02, 10, 0.2, 0.2
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
-_LINE, _OFTEN, _DROP, _TEXT = 0, 1, 2, 9
+_LINE, _OFTEN, _HELD, _DROP, _TEXT = 0, 1, 2, 3, 9
 _BLOCK = 400_000
 
 
@@ -90,8 +88,10 @@ WHITE_AT = K.WHITE
 
 
 def _count(n: int, host: str):
+    """Map side: each line once a block, and the block's list of documents that hold it."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held, size = X.Sender(n), [], 0
+        out, held, size, block = X.Sender(n), [], 0, TaskContext.get().partitionId() << 32
 
         def settle() -> Iterator[pa.RecordBatch]:
             k1, k2, h, doc = (np.concatenate([x[i] for x in held]) for i in range(4))
@@ -99,7 +99,8 @@ def _count(n: int, host: str):
             k1, k2, h, doc = k1[order], k2[order], h[order], doc[order]
             at = np.flatnonzero(K.group_starts(k1, k2))
             many = np.diff(np.append(at, len(k1)))
-            yield from out.add(_LINE, k1[at], {"k1": k1[at], "k2": k2[at], "h": h[at], "doc": doc[at], "w": many.astype(np.int32)})
+            yield from out.add(_LINE, k1[at], {"k1": k1[at], "k2": k2[at], "h": h[at], "doc": doc[at], "w": many.astype(np.int32), "f": np.full(len(at), block)})
+            yield from out.add(_HELD, K.doc_hash(np.full(len(doc), block)), {"k1": k1, "k2": k2, "doc": doc, "f": np.full(len(doc), block)})
 
         for part in K.slices(batches):
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
@@ -110,7 +111,7 @@ def _count(n: int, host: str):
             size += len(once)
             if size > _BLOCK:
                 yield from settle()
-                held, size = [], 0
+                held, size, block = [], 0, block + 1
         if held:
             yield from settle()
         yield from out.flush()
@@ -119,17 +120,29 @@ def _count(n: int, host: str):
 
 
 def _often(least: int):
+    """Shard side: a row for each line of enough documents and block that holds it; lists of blocks pass."""
+    names = ("k1", "k2", "h", "first_doc", "n_docs", "f")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [X.unpack(frame) for _, _, frame in X.frames(batches)]
+        parts = []
+        for b, tag, frame in X.frames(batches):
+            if tag == _LINE:
+                parts.append(X.unpack(frame))
+            else:
+                passed = X.row(b, tag, frame)
+                yield pa.record_batch([*passed.columns, *(pa.nulls(1, pa.int64()) for _ in names)], names=[*passed.schema.names, *names])
         if not parts:
             return
         r = X.joined(parts)
         order = np.lexsort((r["doc"], r["k2"], r["k1"]))
-        k1, k2, h, doc, w = (r[c][order] for c in ("k1", "k2", "h", "doc", "w"))
-        at = np.flatnonzero(K.group_starts(k1, k2))
+        k1, k2, h, doc, w, f = (r[c][order] for c in ("k1", "k2", "h", "doc", "w", "f"))
+        new = K.group_starts(k1, k2)
+        at, group = np.flatnonzero(new), np.cumsum(new) - 1
         total = np.add.reduceat(w.astype(np.int64), at)
-        at, total = at[total >= least], total[total >= least]
-        yield pa.record_batch([pa.array(x) for x in (k1[at].view(np.int64), k2[at].view(np.int64), h[at].view(np.int64), doc[at], total)], names=["k1", "k2", "h", "first_doc", "n_docs"])
+        some = np.flatnonzero(total[group] >= least)
+        blank = [pa.nulls(len(some), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+        found = (k1.view(np.int64), k2.view(np.int64), h.view(np.int64), doc[at][group], total[group], f)
+        yield pa.record_batch([*blank, *(pa.array(x[some]) for x in found)], names=["b", "tag", "frame", *names])
 
     return run
 
@@ -143,13 +156,20 @@ def _host_sizes(host: str):
     return run
 
 
+def _counted(docs: DataFrame, host: str, min_docs: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """(lines over the limits: a row for each block that holds one, with f; frames of what blocks hold)."""
+    n = X.bucket_count(docs.sparkSession)
+    src = with_ids(docs, F.col(host).cast("string").alias("_host"))
+    kinds = X.FRAMES + ", k1 long, k2 long, h long, first_doc long, n_docs long, f long"
+    met = X.stored(X.shuffled(src.mapInArrow(_count(n, "_host"), X.FRAMES), n).mapInArrow(_often(min_docs), kinds), "line-counts")
+    sizes = src.select("_host").mapInArrow(_host_sizes("_host"), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    over = met.where("frame is null").join(sizes, "h").where(F.col("n_docs") > share * F.col("n"))
+    return over.select("k1", "k2", "first_doc", "n_docs", "f"), met.where("frame is not null").select("b", "tag", "frame")
+
+
 def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """k1, k2, first_doc, n_docs of the lines over the limits of their host."""
-    n = X.bucket_count(docs.sparkSession)
-    src = with_ids(docs, F.col(host).cast("string").alias(host))
-    often = X.shuffled(src.mapInArrow(_count(n, host), X.FRAMES), n).mapInArrow(_often(min_docs), "k1 long, k2 long, h long, first_doc long, n_docs long")
-    sizes = src.select(host).mapInArrow(_host_sizes(host), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return often.join(sizes, "h").where(F.col("n_docs") > share * F.col("n")).select("k1", "k2", "first_doc", "n_docs")
+    return _counted(docs, host, min_docs, share)[0].select("k1", "k2", "first_doc", "n_docs").distinct()
 
 
 def _verdict(f: dict[str, np.ndarray], lost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +178,7 @@ def _verdict(f: dict[str, np.ndarray], lost: np.ndarray) -> tuple[np.ndarray, np
     return failed, ~failed & (left >= MIN_WORDS) & (left >= MIN_LEFT * f["n_words"])
 
 
-def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: tuple[str, ...] = (), broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Statistics and verdict of each document.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_frequent_words
@@ -169,21 +189,22 @@ def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sha
     fewer than 10 words or less than a fifth of its words.  A null or empty text has no words and
     fails.  A null host is a host of its own.  Rows without doc_id are left out; repeated rows count
     as documents of their own, and all rows that share a line's smallest doc_id keep the line.
+    Columns in ``keep`` must not have the name of a result other than ``text``.
     """
-    src = with_ids(docs, F.col(host).cast("string").alias("_host"), *(c for c in keep if c != "text"))
-    spark = docs.sparkSession
-    often = X.stored(frequent_lines(docs, host, min_docs, share), "frequent-lines")
-    few = often.limit(broadcast_lines + 1).count() <= broadcast_lines
     names = [(c, pa.int64()) for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent_words")] + [("base_failed", pa.bool_()), ("kept", pa.bool_())]
+    check_names(keep, names)
+    n = X.bucket_count(docs.sparkSession)
+    src = with_ids(docs, F.col(host).cast("string").alias("_host"), *(c for c in keep if c != "text"))
+    over, held = _counted(docs, host, min_docs, share)
     schema, ddl = arrow_schema(src, keep, names)
 
-    def judged(part: pa.RecordBatch, found) -> pa.RecordBatch:
+    def judged(part: pa.RecordBatch, marks: np.ndarray) -> pa.RecordBatch:
         ids, text = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("text")
         made = features(text)
         made["n_frequent_words"] = np.zeros(len(ids), np.int64)
-        if found is not None:
+        if len(marks):
             row, words, k1, k2, _, where = _lines(part, "_host")
-            hit = found(k1, k2, ids[row])
+            hit = _marked(marks, _mark(ids[row], k1, k2))
             made["n_frequent_words"] = np.bincount(row[hit], words[hit], len(ids)).astype(np.int64)
             if "text" in keep:
                 text = _without(text, where, hit)
@@ -191,49 +212,31 @@ def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sha
         made["doc_id"] = ids
         return pa.record_batch([pa.array(made[f.name]) if f.name in made else (text if f.name == "text" else part.column(f.name)).cast(f.type) for f in schema], schema=schema)
 
-    if few:
-        t = often.select("k1", "k2", "first_doc").toArrow()
-        k1, k2, first = (t.column(c).to_numpy() for c in ("k1", "k2", "first_doc"))
-        order = np.lexsort((k2.view(K.U64), k1.view(K.U64)))
-        sent = spark.sparkContext.broadcast((k1.view(K.U64)[order], k2.view(K.U64)[order], first[order]))
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = (lambda k1, k2, doc: _hits(sent.value, k1, k2, doc)) if len(sent.value[0]) else None
-            for part in K.slices(batches):
-                yield judged(part, found)
-
-        return src.mapInArrow(run, ddl)
-    n = X.bucket_count(spark)
-
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = X.Sender(n)
-        for part in K.slices(batches):
-            row, _, k1, k2, _, _ = _lines(part, "_host")
-            yield from out.add(_TEXT, k1, {"k1": k1, "k2": k2, "doc": part.column("doc_id").to_numpy()[row]})
-        yield from out.flush()
-
-    def table(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = X.Sender(n)
         for part in batches:
-            k1, k2, first = (part.column(c).to_numpy() for c in ("k1", "k2", "first_doc"))
-            yield from out.add(_OFTEN, k1.view(K.U64), {"k1": k1.view(K.U64), "k2": k2.view(K.U64), "doc": first})
+            k1, k2, first, f = (part.column(c).to_numpy() for c in ("k1", "k2", "first_doc", "f"))
+            yield from out.add(_OFTEN, K.doc_hash(f), {"k1": k1.view(K.U64), "k2": k2.view(K.U64), "first": first, "f": f})
         yield from out.flush()
 
-    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: list | tuple = []
+    def drops(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: list | np.ndarray = []
         out = X.Sender(n)
         for _, tag, frame in X.frames(batches):
             if tag == _OFTEN:
-                known.append(X.unpack(frame))
+                told.append(X.unpack(frame))
                 continue
-            if isinstance(known, list):
-                if not known:
+            if isinstance(told, list):
+                if not told:
                     return
-                r = X.joined(known)
-                order = np.lexsort((r["k2"], r["k1"]))
-                known = (r["k1"][order], r["k2"][order], r["doc"][order])
+                t = X.joined(told)
+                of_block = _mark(t["f"], t["k1"], t["k2"])
+                order = np.argsort(of_block, kind="stable")
+                told, first = of_block[order], t["first"][order]
             r = X.joined([X.unpack(frame)])
-            hit = _hits(known, r["k1"], r["k2"], r["doc"])
+            mine = _mark(r["f"], r["k1"], r["k2"])
+            at = np.minimum(np.searchsorted(told, mine), len(told) - 1)
+            hit = (told[at] == mine) & (r["doc"] > first[at])
             doc = r["doc"][hit]
             yield from out.add(_DROP, K.doc_hash(doc), {"mark": _mark(doc, r["k1"][hit], r["k2"][hit])})
         yield from out.flush()
@@ -246,14 +249,12 @@ def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sha
                 continue
             if isinstance(marks, list):
                 marks = np.unique(X.joined(marks)["mark"]) if marks else np.zeros(0, K.U64)
-            found = (lambda k1, k2, doc, marks=marks: _marked(marks, _mark(doc, k1, k2))) if len(marks) else None
             for part in K.slices([X.unpack(frame)]):
-                yield judged(part, found)
+                yield judged(part, marks)
 
-    asked = src.select("doc_id", "text", "_host").mapInArrow(ask, X.FRAMES).union(often.select("k1", "k2", "first_doc").mapInArrow(table, X.FRAMES))
-    drops = X.shuffled(asked, n).mapInArrow(answer, X.FRAMES)
+    lost = X.shuffled(over.mapInArrow(tell, X.FRAMES).union(held), n).mapInArrow(drops, X.FRAMES)
     texts = X.text_frames(src, n, extra=("_host", *(c for c in keep if c != "text")), tag=_TEXT)
-    return X.shuffled(drops.union(texts), n).mapInArrow(apply, ddl)
+    return X.shuffled(lost.union(texts), n).mapInArrow(apply, ddl)
 
 
 def _marked(marks: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -272,18 +273,3 @@ def _without(text: pa.Array, where: tuple, hit: np.ndarray) -> pa.Array:
     for i in np.flatnonzero(lost):
         out[i] = b"\n".join(raw[start[j] : end[j]] for j in range(at[i], at[i + 1]) if not drop[j]).decode()
     return pa.array(out, text.type)
-
-
-def _hits(known: tuple, k1: np.ndarray, k2: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Lines that are in the table and not in their first document."""
-    t1, t2, first = known
-    at = np.searchsorted(t1, k1)
-    hit = np.zeros(len(k1), bool)
-    while True:  # equal first halves are next to each other
-        ok = at < len(t1)
-        same = ok & (t1[np.minimum(at, len(t1) - 1)] == k1)
-        if not same.any():
-            return np.flatnonzero(hit)
-        here = np.minimum(at, len(t1) - 1)
-        hit |= same & (t2[here] == k2) & (doc > first[here])
-        at = np.where(same, at + 1, len(t1))

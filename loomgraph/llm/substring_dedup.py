@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from loomgraph.llm import kernel as K
 from loomgraph.llm import repeats
-from loomgraph.llm.line_dedup import arrow_schema, with_ids
+from loomgraph.llm.line_dedup import arrow_schema, check_names, with_ids
 
 WINDOW, SEED = 20, 8
 
@@ -41,8 +41,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, seed: int = SEED, ke
     without doc_id are left out; rows that repeat a doc_id stand at the same place, so none of them
     is earlier than the other.
     """
+    names = [("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())]
+    check_names(keep, names)
     src = with_ids(docs, *keep)
-    schema, ddl = arrow_schema(src, keep, [("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
+    schema, ddl = arrow_schema(src, keep, names)
 
     def cut(part: pa.RecordBatch, marks: dict) -> pa.RecordBatch:
         ids = part.column("doc_id").to_numpy(zero_copy_only=False)
