@@ -5,9 +5,10 @@ windows have equal anchors at equal places.  Consecutive windows of one document
 anchor form a run.  Runs meet by anchor:
 
 * runs with equal content are settled at once: all but the first are covered;
-* the first run of each content, where an anchor has several contents, is extended: its windows are
-  compared one by one (``kind`` 1) or, where an anchor has very many contents, spread over all tasks
-  by window (``kind`` 2), so that no anchor's runs need meet in one task.
+* the first run of each content, where an anchor has several contents, sends its symbols to the
+  anchor's shard, where the operator finds the repeats among them (``on_segments``); where an anchor
+  has very many contents, its windows are spread over all tasks by window instead, so that no
+  anchor's runs need meet in one task.
 
 Map tasks settle equal runs within a block of documents before anything is sent, so frequent
 passages and copies reach a shard once a block.  A place is (doc_id, start); smaller is earlier.
@@ -163,8 +164,8 @@ def _of_rows(marks: dict[str, np.ndarray], ids: np.ndarray) -> tuple[np.ndarray,
     return row, marks["start"][at], marks["n"][at]
 
 
-def _extend(n: int, symbols: Symbols, length: int, segments: bool):
-    """Document side: the windows of open runs; with ``segments``, kind 1 sends bytes by anchor instead."""
+def _extend(n: int, symbols: Symbols, length: int, k: int, raw: bool):
+    """Document side: segments of open runs by anchor, windows of hot ones; ``raw`` segments are bytes, others symbols."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks: dict[int, list] = {_OPEN: [], _HOT: []}
@@ -185,8 +186,6 @@ def _extend(n: int, symbols: Symbols, length: int, segments: bool):
                 continue
             if ready is None:
                 ready = {t: _by_doc(m) for t, m in marks.items()}
-                if not segments:
-                    ready = {_OPEN: _by_doc([]), _HOT: _by_doc(marks[_OPEN] + marks[_HOT])}
             batch = X.unpack(frame)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             some = np.isin(ids, ready[_OPEN]["doc"]) | np.isin(ids, ready[_HOT]["doc"])
@@ -203,18 +202,17 @@ def _extend(n: int, symbols: Symbols, length: int, segments: bool):
                     size += len(at)
                 row, start, count = _of_rows(ready[_OPEN], ids)
                 if len(row):
-                    data, at = K.text_bytes(part.column("text"))
+                    data, at = K.text_bytes(part.column("text")) if raw else (values, offs)
                     lo = at[row] + start
                     hi = lo + count - 1 + length
-                    # The anchor again, as the bucket: the least k-gram of the run's first window.
                     cut = np.concatenate([[0], np.cumsum(hi - lo)])
                     body = data[np.repeat(lo - cut[:-1], hi - lo) + np.arange(cut[-1])]
-                    seg = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(body)])
-                    grams = K.rolled(values, segments)
+                    seg = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer((cut * body.itemsize).astype(np.int64)), pa.py_buffer(body)])
+                    # The anchor again, as the bucket: the least k-gram of the run's first window.
+                    grams = K.rolled(values, k)
                     key = (grams & K.U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=K.U64)
-                    anchor = (K.sliding_min(key, length - segments + 1)[lo] & K.U64(0xFFFFFFFF)).astype(np.int64)
-                    left = np.where(start > 0, data[np.maximum(lo - 1, 0)].astype(np.int16), -1)
-                    yield from out.add(_SEG, grams[anchor], {"a": grams[anchor], "doc": ids[row], "start": start.astype(np.int32), "n": count.astype(np.int32), "left": left, "seg": seg})
+                    anchor = (K.sliding_min(key, length - k + 1)[lo] & K.U64(0xFFFFFFFF)).astype(np.int64)
+                    yield from out.add(_SEG, grams[anchor], {"a": grams[anchor], "doc": ids[row], "start": start.astype(np.int32), "n": count.astype(np.int32), "at": (anchor - lo).astype(np.int32), "seg": seg})
                 if size > 2 * _BLOCK:
                     yield from settle()
                     held, size = [], 0
@@ -225,7 +223,7 @@ def _extend(n: int, symbols: Symbols, length: int, segments: bool):
     return run
 
 
-def _windows(n: int, length: int, on_segments: Callable | None):
+def _windows(n: int, length: int, on_segments: Callable):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, segs, out = [], [], X.Sender(n)
         for b, tag, frame in X.frames(batches):
@@ -242,8 +240,7 @@ def _windows(n: int, length: int, on_segments: Callable | None):
             late = _later(doc, start, K.group_starts(r["w1"][order], r["w2"][order]))
             yield from _marks(out, _COVER, doc[late], start[late], np.ones(late.sum(), np.int32))
         if segs:
-            doc, start = on_segments(segs, length)
-            yield from _marks(out, _COVER, doc, start, np.ones(len(doc), np.int32))
+            yield from _marks(out, _COVER, *on_segments(segs, length))
         yield from out.flush()
 
     return run
@@ -259,16 +256,19 @@ def covered(marks: dict[str, np.ndarray], ids: np.ndarray, offs: np.ndarray, len
     return np.cumsum(edge)[:-1] > 0
 
 
-def remove(src: DataFrame, keep: tuple[str, ...], symbols: Symbols, length: int, k: int, cut: Callable, out: tuple[pa.Schema, str], on_segments: Callable | None = None, spread: tuple[int, int] = (BLOCK_CONTENTS, SHARD_CONTENTS)) -> DataFrame:
+def remove(src: DataFrame, keep: tuple[str, ...], symbols: Symbols, length: int, k: int, cut: Callable, out: tuple[pa.Schema, str], on_segments: Callable, spread: tuple[int, int] = (BLOCK_CONTENTS, SHARD_CONTENTS)) -> DataFrame:
     """``cut(part, marks)`` makes the result rows of a slice, given the marks of its documents.
 
+    ``on_segments(frames, length)`` gets rows (a: anchor, doc, start, n: windows, at: place of the
+    anchor in the segment, seg) of whole anchors and gives (doc, start, windows) of later repeats.
+
     src: doc_id long (not null), text string, further columns.
     """
     spark = src.sparkSession
     n = X.bucket_count(spark)
     two = src.select("doc_id", "text")
     met = X.stored(X.shuffled(two.mapInArrow(_collect(n, symbols, length, k, spread[0]), X.FRAMES), n).mapInArrow(_meet(n, spread[1]), X.FRAMES), "repeats")
-    opened = X.shuffled(met.where(met.tag != _COVER).union(X.text_frames(two, n, tag=_TEXT)), n).mapInArrow(_extend(n, symbols, length, k if on_segments else 0), X.FRAMES)
+    opened = X.shuffled(met.where(met.tag != _COVER).union(X.text_frames(two, n, tag=_TEXT)), n).mapInArrow(_extend(n, symbols, length, k, symbols is byte_symbols), X.FRAMES)
     late = X.shuffled(opened, n).mapInArrow(_windows(n, length, on_segments), X.FRAMES)
 
     def final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,8 @@
 scans it with a stack and gives the nodes of the interval tree; ``maximal_repeats`` keeps nodes whose
 occurrences differ in what stands to their left, with all their occurrences.  Segments reach a task
 by anchor (see ``repeats``): any two equal strings of ``length`` bytes share an anchor, so they are
-in the same array.
+in the same array.  Segments that agree as a whole, and anchors with very many different segments,
+are settled by hashes before (``repeats``).
 """
 
 from __future__ import annotations
@@ -107,8 +108,8 @@ def maximal_repeats(segments: list[bytes], least: int, left: list[int] | None =
     return [(d, sorted(zip(owner[lo : hi + 1].tolist(), place[lo : hi + 1].tolist(), strict=True))) for d, lo, hi in intervals(prefix, least) if change[hi] != change[lo]]
 
 
-def _later_starts(segs: list[pa.RecordBatch], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of windows that also start earlier, among the segments of one shard.
+def _later_repeats(segs: list[pa.RecordBatch], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, windows) of the later occurrences of maximal repeats, among the segments of one shard.
 
     Equal windows have one anchor, so the shard is done in groups of whole anchors: a suffix array
     holds about ``ARRAY_BYTES``, or the segments of one anchor, of which there are few.
@@ -129,8 +130,18 @@ def _later_starts(segs: list[pa.RecordBatch], length: int) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
 
 
-def _later_in_array(t: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
-    doc, start, count = (t.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "n"))
+def _left_of(order: np.ndarray, owner: np.ndarray, place: np.ndarray, data: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The byte before each suffix; where a segment begins, a value unlike all others."""
+    return np.where(place > 0, data[np.maximum(cut[owner] + place - 1, 0)].astype(np.int64), -1 - np.arange(len(order)))
+
+
+def _later_in_array(t: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal repeats of the interval tree, and all their occurrences but the earliest.
+
+    A window that starts twice lies in a maximal repeat that has both occurrences, as the match can
+    be made longer on both sides until it ends; so these cover what the windows cover.
+    """
+    doc, start = (t.column(c).to_numpy().astype(np.int64) for c in ("doc", "start"))
     data, cut = K.text_bytes(t.column("seg"))
     order, levels = suffix_array(data, cut)
     prefix = common_prefixes(order, levels)
@@ -138,22 +149,26 @@ def _later_in_array(t: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     starts = cut[:-1] + np.arange(len(doc))
     owner = np.searchsorted(starts, order, "right") - 1
     place = order - starts[owner]
-    # The nodes just under depth ``length`` are disjoint: children lie inside their parents.
-    top = np.zeros(len(order) + 1, np.int64)
     nodes = np.array(intervals(prefix, length), np.int64).reshape(-1, 3)
-    if not len(nodes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    np.add.at(top, nodes[:, 1], 1)
-    np.add.at(top, nodes[:, 2] + 1, -1)
-    inside = np.flatnonzero(np.cumsum(top)[:-1] > 0)
-    group = np.cumsum(prefix[inside] < length)
-    ok = place[inside] < count[owner[inside]]
-    inside, group = inside[ok], group[ok]
-    d, s = doc[owner[inside]], start[owner[inside]] + place[inside]
-    order = np.lexsort((s, d, group))
-    d, s = d[order], s[order]
-    late = repeats._later(d, s, K.group_starts(group[order])) if len(d) else np.zeros(0, bool)
-    return d[late], s[late]
+    left = _left_of(order, owner, place, data, cut)
+    change = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
+    depth, lo, hi = nodes[change[nodes[:, 1]] != change[nodes[:, 2]]].T if len(nodes) else np.zeros((3, 0), np.int64)
+    found = [(np.zeros(0, np.int64),) * 3]
+    for i in range(0, len(depth), 4096):
+        size = hi[i : i + 4096] - lo[i : i + 4096] + 1
+        at = np.repeat(lo[i : i + 4096], size) + K.within(size)
+        group = np.repeat(np.arange(len(size)), size)
+        d, s = doc[owner[at]], start[owner[at]] + place[at]
+        by = np.lexsort((s, d, group))
+        d, s, group = d[by], s[by], group[by]
+        late = repeats._later(d, s, K.group_starts(group))
+        found.append((d[late], s[late], depth[i : i + 4096][group[late]] - length + 1))
+    d, s, windows = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(d):
+        return d, s, windows
+    by = np.lexsort((-windows, s, d))  # of the repeats that start at one place the longest is enough
+    once = by[K.group_starts(d[by], s[by])]
+    return d[once], s[once], windows[once]
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, spread: tuple[int, int] = (repeats.BLOCK_CONTENTS, repeats.SHARD_CONTENTS)) -> DataFrame:
@@ -180,4 +195,4 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, spr
         spans = np.diff(np.concatenate([[0], np.cumsum(open_)])[offs])
         return pa.record_batch([pa.array(ids, pa.int64()), kept, pa.array(np.diff(offs)), pa.array(np.diff(offs) - np.diff(left)), pa.array(spans)], schema=schema)
 
-    return repeats.remove(src, (), repeats.byte_symbols, length, anchor, cut, (schema, ddl), _later_starts, spread)
+    return repeats.remove(src, (), repeats.byte_symbols, length, anchor, cut, (schema, ddl), _later_repeats, spread)
