@@ -43,10 +43,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = warc.write_archives(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    archives = warc.write_archives(pages)
     exchange.drop_shuffles(spark)
-    found = warc.captures(warc.build_index(archives))
-    return warc.read_records(archives, found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.lookup(warc.build_index(archives), pages.select(F.coalesce("url", F.lit("")).alias("url")))
+    return warc.read_records(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

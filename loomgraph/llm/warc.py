@@ -1,10 +1,11 @@
 """WARC archives of web pages and a two-level capture index.
 
-Archives are runs of gzip members, one WARC record each, held as rows (archive, data, cdx) of a
-Parquet table, so any store that Spark reaches will do; ``export`` puts them into .warc.gz files.
+Archives are .warc.gz files in the shared folder: runs of gzip members, one WARC record each.  They
+are written and read through Arrow's file systems, so any store with such a file system will do.
 The index sorts captures by reversed-host URL key into compressed blocks of lines (first level) and
-keeps the first key of each block in a sparse directory (second level).  A lookup searches the
-directory by bisection, then the block, and reads only the record's range of its archive.
+keeps the first key of each block in a sparse directory (second level).  A lookup searches the heads
+of the key ranges, then a range's directory, then the block by bisection, and reads only the
+records' ranges of their archives.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +28,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm import exchange as X
 
 ARCHIVE_BYTES, BLOCK_LINES, DATE = 4 << 20, 1000, "2024-01-01T00:00:00Z"
-#: Directory entries that are sent to all tasks of a lookup; beyond, the directory is joined by range.
-DIRECTORY_ROWS = 1_000_000
-ARCHIVES = "archive string, data binary, cdx string"
+ARCHIVES = "archive string, cdx string"
+#: Neighbouring records that one read fetches.
+READ_BYTES = 1 << 20
+_BLOCK, _KEY = 0, 1
 BLOCKS = "block string, first string, data binary"
 
 
@@ -79,13 +84,16 @@ def parse(member: bytes) -> dict:
     return out
 
 
-def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Archives of all pages (null html: empty; null url: empty), stored in the shared folder.
+def write_archives(pages: DataFrame, min_bytes: int = 0, folder: str | None = None) -> DataFrame:
+    """Archives of all pages (null html: empty; null url: empty); a row (archive, cdx) for each file.
 
     Of equal payloads of at least ``min_bytes`` bytes the page with the smallest page_id is a
     response record and the others are revisits of it; smaller payloads are all responses.  Rows
-    without page_id are left out; rows that repeat the smallest page_id are all responses.
+    without page_id are left out; rows that repeat the smallest page_id are all responses.  Files go
+    to ``folder``, or to a new one in the shared folder.  A task that runs again writes files of its
+    own names, and the rows tell which ones count.
     """
+    where = folder or X.scratch(pages.sparkSession, "warc-files")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     src = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).cast("long").alias("size"))
     firsts = src.groupBy("sha1", "size").agg(F.min("page_id").alias("first"))
@@ -94,9 +102,14 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, data, cdx = TaskContext.get().partitionId(), 0, bytearray(), []
+        store, path = fs.FileSystem.from_uri(where)
 
         def archive() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([f"pages-{task:06d}-{number:06d}"]), pa.array([bytes(data)], pa.binary()), pa.array(["\n".join(cdx)])], names=["archive", "data", "cdx"])
+            name = f"pages-{task:06d}-{number:06d}-{uuid.uuid4().hex[:12]}.warc.gz"
+            store.create_dir(path, recursive=True)
+            with store.open_output_stream(f"{path}/{name}", compression=None) as f:
+                f.write(bytes(data))
+            return pa.record_batch([pa.array([f"{where}/{name}"]), pa.array(["\n".join(cdx)])], names=["archive", "cdx"])
 
         for batch in batches:
             columns = [batch.column(c) for c in ("page_id", "url", "html", "size", "sha1", "refers_to")]
@@ -115,22 +128,6 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return X.stored(rows.mapInArrow(run, ARCHIVES), "warc")
 
 
-def export(archives: DataFrame, folder: str) -> None:
-    """Writes the archives as .warc.gz files to a folder that all executors share."""
-
-    def write(rows: Iterable) -> None:
-        import os
-
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            part = os.path.join(folder, f".{r['archive']}.{os.getpid()}")
-            with open(part, "wb") as f:
-                f.write(r["data"])
-            os.replace(part, os.path.join(folder, f"{r['archive']}.warc.gz"))
-
-    archives.select("archive", "data").foreachPartition(write)
-
-
 def build_index(archives: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Blocks (block, first, data) of capture lines in order of URL key, then page.
 
@@ -179,74 +176,115 @@ def _found(rows: list[list[str]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(key, pa.string()), pa.array([int(x) for x in page], pa.int64()), pa.array(archive, pa.string()), pa.array([int(x) for x in offset], pa.int64()), pa.array([int(x) for x in length], pa.int64())], names=["key", "page_id", "archive", "offset", "length"])
 
 
-def lookup(index: DataFrame, urls: DataFrame, directory_rows: int = DIRECTORY_ROWS) -> DataFrame:
-    """Captures (key, page_id, archive, offset, length) of the addresses in column ``url``."""
-    asked = urls.where("url is not null").select("url").distinct()
-    directory = index.select("first", "block").orderBy("first", "block")
-    if index.count() <= directory_rows:
-        pairs = [(r["first"], r["block"]) for r in directory.collect()]
-        firsts, blocks = [p[0] for p in pairs], [p[1] for p in pairs]
-
-        def seek(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, at = [], []
-                for url in batch.column("url").to_pylist():
-                    key = _line(url_key(url)).replace("\t", "%09")
-                    lo, hi = max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)
-                    keys += [key] * (hi - lo)
-                    at += blocks[lo:hi]
-                yield pa.record_batch([pa.array(keys, pa.string()), pa.array(at, pa.string())], names=["key", "block"])
-
-        wanted = asked.mapInArrow(seek, "key string, block string")
-    else:
-        from pyspark.sql import Window
-
-        # The first keys of the ranges, one a task of the build, tell in which ranges a key can be;
-        # then keys meet the directory range by range.
-        part = F.substring("block", 1, 6).alias("part")
-        heads = sorted((r["first"], r["part"]) for r in index.groupBy(part).agg(F.min("first").alias("first")).collect())
-        lows, parts = [h[0] for h in heads], [h[1] for h in heads]
-
-        def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, at = [], []
-                for url in batch.column("url").to_pylist():
-                    key = _line(url_key(url)).replace("\t", "%09")
-                    lo, hi = max(0, bisect.bisect_left(lows, key) - 1), bisect.bisect_right(lows, key)
-                    keys += [key] * (hi - lo)
-                    at += parts[lo:hi]
-                yield pa.record_batch([pa.array(keys, pa.string()), pa.array(at, pa.string())], names=["key", "part"])
-
-        own = index.select(part, "block", "first", F.lead("first").over(Window.partitionBy(F.substring("block", 1, 6)).orderBy("block")).alias("next"))
-        near = (F.col("first") <= F.col("key")) & (F.col("next").isNull() | (F.col("next") >= F.col("key")))
-        wanted = asked.mapInArrow(place, "key string, part string").join(own, "part").where(near).select("key", "block")
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, keys in zip(batch.column("data"), batch.column("keys").to_pylist(), strict=True):
-                lines = zlib.decompress(data.as_py()).decode().split("\n")
-                rows = []
-                for key in keys:
-                    at = bisect.bisect_left(lines, key + "\t")
-                    while at < len(lines) and lines[at].startswith(key + "\t"):
-                        rows.append(lines[at].split("\t"))
-                        at += 1
-                yield _found(rows)
+def _key(url: str) -> str:
+    """An address as the index has it."""
+    return _line(url_key(url)).replace("\t", "%09")
 
-    return index.join(wanted.groupBy("block").agg(F.collect_set("key").alias("keys")), "block").select("data", "keys").mapInArrow(read, "key string, page_id long, archive string, offset long, length long")
+
+def lookup(index: DataFrame, urls: DataFrame) -> DataFrame:
+    """Captures (key, page_id, archive, offset, length) of the addresses in column ``url``.
+
+    Each capture comes once, however often its address is asked; null addresses are not asked.
+    """
+    n = X.bucket_count(index.sparkSession)
+    # The first keys of the ranges, one a task of the build, tell in which ranges a key can be.
+    part = F.substring("block", 1, 6).cast("int")
+    heads = sorted((r["first"], r["part"]) for r in index.groupBy(part.alias("part")).agg(F.min("first").alias("first")).collect())
+    lows, parts = [h[0] for h in heads], np.array([h[1] for h in heads], np.int64)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = X.Sender(n)
+        for batch in batches:
+            keys, at = [], []
+            for key in {_key(u) for u in batch.column("url").to_pylist()}:
+                lo, hi = max(0, bisect.bisect_left(lows, key) - 1), bisect.bisect_right(lows, key)
+                keys += [key] * (hi - lo)
+                at += range(lo, hi)
+            to = parts[np.array(at, np.int64)]
+            yield from out.add(_KEY, to, {"part": to, "key": pa.array(keys, pa.large_string())})
+        yield from out.flush()
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = X.Sender(n)
+        for batch in batches:
+            to = batch.column("part").to_numpy().astype(np.int64)
+            yield from out.add(_BLOCK, to, {"part": to, **{c: batch.column(c).cast(pa.large_string()) for c in ("block", "first")}, "data": batch.column("data").cast(pa.large_binary())})
+        yield from out.flush()
+
+    def seek(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, list] = {}
+        asked: dict[int, set] = {}
+        for _, tag, frame in X.frames(batches):
+            t = X.unpack(frame)
+            if tag == _KEY:
+                for p, key in zip(t.column("part").to_pylist(), t.column("key").to_pylist(), strict=True):
+                    asked.setdefault(p, set()).add(key)
+            else:
+                for p, *row in zip(*(t.column(c).to_pylist() for c in ("part", "block", "first", "data")), strict=True):
+                    blocks.setdefault(p, []).append(row)
+        for p, keys in asked.items():
+            own = sorted(blocks.get(p, ()))
+            directory = [b[1] for b in own]
+            at, lines, rows = -1, [], []
+            for key in sorted(keys):
+                first = max(0, bisect.bisect_left(directory, key) - 1)
+                for i in range(first, bisect.bisect_right(directory, key)):
+                    if i != at:
+                        at, lines = i, zlib.decompress(own[i][2]).decode().split("\n")
+                    j = bisect.bisect_left(lines, key + "\t")
+                    while j < len(lines) and lines[j].startswith(key + "\t"):
+                        rows.append(lines[j].split("\t"))
+                        j += 1
+                if len(rows) > 20_000:
+                    yield _found(rows)
+                    rows = []
+            yield _found(rows)
+
+    asks = urls.where("url is not null").select(F.col("url").cast("string").alias("url")).mapInArrow(place, X.FRAMES)
+    dealt = index.select(part.alias("part"), "block", "first", "data").mapInArrow(deal, X.FRAMES)
+    return X.shuffled(asks.union(dealt), n).mapInArrow(seek, "key string, page_id long, archive string, offset long, length long")
+
+
+def _reads(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, list[tuple[int, int]]]]:
+    """(archive, offset, [(place in it, length)]) of neighbouring ranges, sorted, as single reads."""
+    held: tuple[str, int, list] | None = None
+    for archive, offset, length in rows:
+        end = held[1] + sum(held[2][-1]) if held else 0
+        if held and held[0] == archive and offset == end and offset + length - held[1] <= READ_BYTES:
+            held[2].append((offset - held[1], length))
+            continue
+        if held:
+            yield held
+        held = (archive, offset, [(0, length)])
+    if held:
+        yield held
 
 
-def read_records(archives: DataFrame, found: DataFrame) -> DataFrame:
-    """Reads the captures' ranges: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
-    ranges = found.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))  # as many as an archive has records
+def read_records(found: DataFrame) -> DataFrame:
+    """Reads the captures' ranges of their archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
+    n = X.bucket_count(found.sparkSession)
+    kinds = (("page_id", pa.int64()), ("url", pa.string()), ("size", pa.int64()), ("digest", pa.string()), ("type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, file = None, None
         for batch in batches:
-            for data, parts in zip(batch.column("data"), batch.column("ranges").to_pylist(), strict=True):
-                view = memoryview(data.as_buffer())
-                for i in range(0, len(parts), 256):
-                    got = [parse(view[p["offset"] : p["offset"] + p["length"]]) for p in parts[i : i + 256]]
-                    columns = [pa.array([g[k] for g in got], t) for k, t in (("page_id", pa.int64()), ("url", pa.string()), ("size", pa.int64()), ("digest", pa.string()), ("type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()))]
-                    yield pa.record_batch(columns, names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-
-    return archives.select("archive", "data").hint("merge").join(ranges, "archive").select("data", "ranges").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+            got, size = [], 0
+            for archive, offset, members in _reads(list(zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True))):
+                if archive != name:
+                    store, path = fs.FileSystem.from_uri(archive)
+                    name, file = archive, store.open_input_file(path)
+                raw = memoryview(file.read_at(sum(members[-1]), offset))
+                got += [parse(raw[a : a + m]) for a, m in members]
+                size += len(raw)
+                if size > READ_BYTES:
+                    yield _records(got, kinds)
+                    got, size = [], 0
+            if got:
+                yield _records(got, kinds)
+
+    ranges = found.select("archive", "offset", "length").repartition(n, "archive").sortWithinPartitions("archive", "offset")
+    return ranges.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+
+
+def _records(got: list[dict], kinds: tuple) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([g[k] for g in got], t) for k, t in kinds], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -10,6 +11,7 @@ import zlib
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, fingerprints, lm_scoring, packing, warc
 
@@ -119,7 +121,7 @@ def test_warc(spark):
         first.setdefault(rows[p].html or "", p)
     archives = warc.write_archives(pages)
     index = warc.build_index(archives, 2)
-    got = {r.page_id: r for r in warc.read_records(archives, warc.captures(index)).collect()}
+    got = {r.page_id: r for r in warc.read_records(warc.lookup(index, pages.select(F.coalesce("url", F.lit("")).alias("url")))).collect()}
     assert sorted(got) == sorted(rows)
     for p, r in rows.items():
         body = (r.html or "").encode()
@@ -127,8 +129,15 @@ def test_warc(spark):
         assert (got[p].payload_bytes, got[p].payload_digest, got[p].record_type, got[p].refers_to) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if f == p else "revisit", None if f == p else f)
         assert got[p].payload == (body if f == p else None)
     asked = spark.createDataFrame([("http://a.org/x",), ("http://nowhere.org",), ("http://a.org:80/x",)], "url string")
-    for limit in (10**6, 0):
-        assert sorted(r.page_id for r in warc.lookup(index, asked, limit).collect()) == sorted([3, 5, 7] * 1)
+    assert sorted(r.page_id for r in warc.lookup(index, asked).collect()) == [3, 5, 7]
+    assert {tuple(r) for r in warc.captures(index).collect()} == {tuple(r) for r in warc.lookup(index, pages.withColumn("url", F.coalesce("url", F.lit("")))).collect()}
+    damaged = index.withColumn("first", F.lit("zzz"))  # without its directory the index finds nothing
+    assert warc.lookup(damaged, asked).count() == 0
+    with gzip.open(archives.first().archive.removeprefix("file://")) as f:  # the files are ordinary WARC
+        assert f.read().startswith(b"WARC/1.1\r\nWARC-Type: ")
+    crowd = spark.createDataFrame([(i, "http://hot.org/" if i % 3 else f"http://h{i}.org/", f"p{i % 50}") for i in range(900)], "page_id long, url string, html string")
+    hot = warc.lookup(warc.build_index(warc.write_archives(crowd), 7), crowd)
+    assert sorted(r.page_id for r in warc.read_records(hot).collect()) == list(range(900))
     assert warc.url_key("http://www.A.org:8080/p?q=1") == "org,a,www:8080)/p?q=1"
     none = warc.write_archives(pages.limit(0))
     assert warc.captures(warc.build_index(none)).count() == 0
