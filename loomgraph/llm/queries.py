@@ -59,7 +59,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edits(_table(spark, sf_dir, "documents"))
+    return fingerprints.with_neighbours(_table(spark, sf_dir, "documents"))
 
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

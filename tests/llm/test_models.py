@@ -157,6 +157,34 @@ def test_fingerprints(docs):
         assert r.near_next == fingerprints.likeness(fingerprints.signatures(pa.array([t])), fingerprints.signatures(pa.array([after])))[0]
     assert fingerprints.edits(docs.where("doc_id = 5")).first().near_next == 1.0 and fingerprints.edits(docs.limit(0)).count() == 0
     assert {(r.doc_id, r.near_id) for r in fingerprints.near_pairs(docs).collect()} == {(8, 7)}
+    assert {(r.doc_id, r.near_id) for r in fingerprints.with_neighbours(docs).collect()} == {(d, 7 if d == 8 else None) for d in texts()}
+
+
+def test_near_first(spark):
+    """The smallest of the bands' first documents that is near on full sets, and estimates close to Jaccard."""
+    import numpy as np
+
+    rnd = random.Random(9)
+    base = [f"n{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rnd.randint(0, 22)):
+            w[rnd.randrange(300)] = f"y{rnd.randrange(900)}"
+        rows.append((i + 1, " ".join(w)))
+    grams = {d: {tuple(t.split()[i : i + 5]) for i in range(296)} for d, t in rows}
+    sig = fingerprints.M.minima(*fingerprints.M.shingles(pa.array([t for _, t in rows])), 64)
+    bands = sig.reshape(60, 16, 4)
+    want = {}
+    for d, _ in rows:
+        firsts = {min(e for e, _ in rows if (bands[e - 1, b] == bands[d - 1, b]).all()) for b in range(16)} - {d}
+        near = [e for e in firsts if 100 * len(grams[d] & grams[e]) >= 75 * len(grams[d] | grams[e])]
+        want |= {d: min(near)} if near else {}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.near_id for r in fingerprints.near_first(docs).collect()} == want and 10 < len(want) < 59
+    true = np.array([len(grams[1] & grams[d]) / len(grams[1] | grams[d]) for d, _ in rows])
+    seen = fingerprints.likeness(fingerprints.signatures(pa.array([rows[0][1]] * 60)), fingerprints.signatures(pa.array([t for _, t in rows])))
+    assert abs(seen - true).mean() < 0.06 and abs(seen - true).max() < 0.25
 
 
 def test_corpus_counts_beyond_32_bits():
