@@ -20,7 +20,7 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at once; temporaries are about 60 times as large.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _ODD = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
