@@ -29,6 +29,34 @@ def stem(t: Column) -> Column:
     return out.otherwise(t)
 
 
+def stem_word(t: str) -> str:
+    """``stem`` for a Python string."""
+    return next((t[: -len(s)] for s in SUFFIXES if t.endswith(s) and len(t.encode()) > len(s) + 2), t)
+
+
+def normal_word(t: str) -> str | None:
+    """``normal_token`` for a Python string."""
+    if t.isnumeric() or t in STOPWORDS:
+        return None
+    cut = stem_word(t)
+    return None if cut in STOPWORDS else SYNONYMS.get(cut, cut)
+
+
+#: All words besides numbers that normalise to nothing: stop-words, and what stems to one.
+DROPPED = sorted({w for w in STOPWORDS} | {w + s for w in STOPWORDS for s in SUFFIXES if stem_word(w + s) in STOPWORDS})
+
+
+def words_of(terms: set[str]) -> dict[str, str]:
+    """word -> term of all words that normalise to one of the terms: some twenty a term."""
+    roots = terms | {k for k, v in SYNONYMS.items() if v in terms}
+    return {w: t for w in {r + s for r in roots for s in ["", *SUFFIXES]} if (t := normal_word(w)) in terms}
+
+
+def is_token(raw: Column) -> Column:
+    """Whether a raw token stays after normalisation; a lookup in a fixed set, without stemming."""
+    return ~raw.rlike(r"^\p{N}*$") & ~raw.isin(*DROPPED)
+
+
 def normal_token(t: Column, synonyms: dict | None = None) -> Column:
     """Stemmed token with its synonym, or null for numbers and stop-words."""
     s = stem(t)

@@ -1,7 +1,8 @@
 """Entity annotation: spans of a text that name nodes.
 
-Candidates come from a join of span tokens with the tokens of node fields; scores are per document
-and span, and overlaps are resolved greedily within a document.
+A span of up to four tokens can only match a field that is, or holds, the same run of normalised
+tokens, so spans meet fields by equality on runs.  Only spans that match anything are looked up in
+the term index, once for each wording; overlaps are resolved greedily within a document.
 """
 
 from __future__ import annotations
@@ -12,76 +13,113 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions import text as X
 from loomgraph.functions.ids import normalize_id
-from loomgraph.model import FILLERS, TYPE_CODE, Graph
+from loomgraph.model import EXPANSIONS, FILLERS, TYPE_CODE, Graph
+from loomgraph.operators import search
 
-MAX_TOKENS, SHORTLIST, EXACT, OVERLAP = 4, 12, 120, 105
+MAX_TOKENS, SHORTLIST, ONE_TOKEN, MORE_TOKENS, BM25_WEIGHT = 4, 12, 120, 105, 8
 #: field -> (exact score, overlap score).
 FIELD_SCORES = {"name": (150, 120), "alias": (140, 116), "key_facts": (130, 110), "id": (125, 108)}
 
 
-def spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, text) of runs of up to four tokens that no filler interrupts, in characters."""
-    words = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
-    out = []
-    for i, (start, _) in enumerate(words):
-        for j in range(i, min(len(words), i + MAX_TOKENS)):
-            a, b = words[j]
-            if text[a:b].lower() in FILLERS:
+def spans(text: str) -> Iterator[tuple[int, int, list[str], list[str]]]:
+    """(start, end, raw terms, normalised terms) of runs of up to four tokens that no filler interrupts, in characters."""
+    words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", text)]
+    known = [X.normal_word(w) for _, _, w in words]
+    for i, (start, _, _) in enumerate(words):
+        raw: list[str] = []
+        terms: list[str] = []
+        for (_, end, word), term in zip(words[i : i + MAX_TOKENS], known[i : i + MAX_TOKENS], strict=True):
+            if term in FILLERS:
                 break
-            out.append((start, b, text[start:b]))
-    return out
+            raw.append(word)
+            if term:
+                terms.append(term)
+            if terms:
+                yield start, end, raw[:], terms[:]
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, span of column text."""
+    """doc_id, start, end, bytes, key (raw terms) and terms (normalised) of column text."""
+    kind = docs.schema["doc_id"].dataType
+    out = T.StructType([T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("start", "end", "bytes")), T.StructField("key", T.StringType()), T.StructField("terms", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, *s) for d, t in zip(pdf.doc_id, pdf.text, strict=True) for s in spans(t or "")]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "span"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, end long, span string")
-
-
-def annotate(graph: Graph, docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, span, node_id, score of chosen spans."""
-    s = span_rows(docs).withColumn("toks", X.tokens(F.col("span"))).where(F.size("toks") > 0)
-    keys = s.select("doc_id", "start", "end", "toks").withColumn("token", F.explode(F.array_distinct("toks")))
-    nodes = graph.nodes.where("type <> '^'")
-    field = lambda name, c: nodes.select("id", F.lit(name).alias("field"), X.tokens(c).alias("ftoks"))
-    many = lambda name: nodes.select("id", F.explode(name).alias("v")).select("id", F.lit(name).alias("field"), X.tokens(F.col("v")).alias("ftoks"))
-    f = field("name", F.col("name")).union(field("id", F.regexp_replace(F.col("id"), "^[^:]*:", ""))).union(many("alias")).union(many("key_facts")).where(F.size("ftoks") > 0)
-    index = f.withColumn("token", F.explode(F.array_distinct("ftoks")))
-    df = index.groupBy("token").agg(F.countDistinct("id").alias("df"))
-    total = nodes.agg(F.count("*").alias("docs"))
-    idf = df.join(F.broadcast(total)).select("token", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = keys.join(index.join(idf, "token"), "token").groupBy("doc_id", "start", "end", "toks", "id", "field", "ftoks").agg(F.count("*").alias("shared"), F.sum("idf").alias("bm25"))
+            for at in range(0, len(pdf), 200):
+                part = pdf.iloc[at : at + 200]
+                rows = [(d, a, b, len(t[a:b].encode()), " ".join(raw), " ".join(terms)) for d, t in zip(part.doc_id, part.text, strict=True) for a, b, raw, terms in spans(t or "")]
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "bytes", "key", "terms"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, out)
+
+
+def field_runs(graph: Graph) -> DataFrame:
+    """terms, id, field, raw, whole: runs of at most four normalised tokens of the fields; single ones only if they are the field."""
+    n = graph.nodes
+    one = lambda name, c: n.select("id", F.lit(name).alias("field"), c.alias("v"))
+    many = lambda name: n.select("id", F.lit(name).alias("field"), F.explode(name).alias("v"))
+    f = one("name", F.col("name")).union(one("id", F.regexp_replace("id", "^[^:]*:", ""))).union(many("alias")).union(many("key_facts")).distinct()
+    f = f.select("id", "field", F.array_join(X.raw_tokens(F.col("v")), " ").alias("raw"), X.tokens(F.col("v")).alias("t")).where(F.size("t") > 0)
+    size = F.size("t")
+    starts = F.sequence(F.lit(1), size)
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_TOKENS), size - i + 1)), lambda k: F.array_join(F.slice("t", i, k), " "))))
+    out = f.select("id", "field", "raw", F.array_join("t", " ").alias("whole"), F.explode(F.array_distinct(runs)).alias("terms"))
+    return out.select("terms", "id", "field", "raw", (F.col("terms") == F.col("whole")).alias("whole")).where(F.col("whole") | F.contains("terms", F.lit(" ")))
+
+
+def annotate(graph: Graph, docs: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """doc_id, start, end, span, node_id, score of chosen spans.
+
+    A field matches exactly where its normalised tokens are the span's, and either the raw tokens
+    agree too or none of the span's was dropped; a run of several tokens inside a field matches in
+    part.  To the field's score come four a token and the rank and score in the term index, of which
+    the best twelve nodes count.  Of overlapping spans the one with the higher score stays, then the
+    longer, then the earlier.  ``index`` as ``search.build_index`` gives it, built here by default.
+    """
+    s = span_rows(docs)
+    keys = s.select("key", "terms").distinct()
+    single = ~F.contains("terms", F.lit(" "))
+    n_terms, n_raw = F.size(F.split("terms", " ")), F.size(F.split("key", " "))
+    exact = F.col("whole") & ((F.col("key") == F.col("raw")) | (n_terms == n_raw))
+    hits = keys.join(field_runs(graph), "terms").withColumn("exact", exact).where(F.col("exact") | ~single)
     pick = lambda k: F.create_map(*[F.lit(x) for kv in FIELD_SCORES.items() for x in (kv[0], kv[1][k])])[F.col("field")]
-    exact = F.col("toks") == F.col("ftoks")
-    inside = F.col("shared") == F.size(F.array_distinct("toks"))
-    base = F.when(exact, pick(0)).when(inside, pick(1))
-    per = hits.withColumn("base", base).where("base is not null").groupBy("doc_id", "start", "end", "toks", "id").agg(F.max("base").alias("base"), F.max(exact).alias("exact"), F.max("bm25").alias("bm25"))
-    w = Window.partitionBy("doc_id", "start", "end").orderBy(F.desc("bm25"), "id")
-    short = per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SHORTLIST)
-    score = F.col("base") + 4 * F.size("toks") + F.round(8 * F.col("bm25")) + (SHORTLIST - F.col("rank"))
-    best = short.withColumn("score", score.cast("long")).where(F.col("score") >= F.when(F.col("exact"), EXACT).otherwise(OVERLAP))
-    top = best.groupBy("doc_id", "start", "end").agg(F.max_by(F.struct("id", "score"), F.struct("score", F.col("rank") * -1)).alias("b")).select("doc_id", "start", "end", "b.id", "b.score")
+    hits = hits.groupBy("key", "terms", "id").agg(F.max(F.when(F.col("exact"), pick(0)).otherwise(pick(1))).alias("base"))
+    postings, stats, size = index or search.build_index(graph)
+    extra = F.create_map(*[x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    asked = hits.select("key", "terms").distinct().select("key", F.explode(F.split("terms", " ")).alias("t"))
+    asked = asked.select("key", F.explode(F.concat(F.array("t"), F.coalesce(F.try_element_at(extra, F.col("t")), F.array().cast("array<string>")))).alias("term")).distinct()
+    lengths = postings.groupBy("node_id").agg(F.count("*").alias("dl"))
+    found = asked.join(stats, "term").join(postings, "term").join(lengths, "node_id").join(F.broadcast(size))
+    scored = found.groupBy("key", F.col("node_id").alias("id")).agg(F.sum(search._bm25(F.lit(1.0), F.col("dl"), F.col("idf"), F.col("avgdl"))).alias("bm25"))
+    order = Window.partitionBy("key").orderBy(F.desc(F.round("bm25", 9)), "id")
+    short = scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < SHORTLIST)
+    score = F.col("base") + 4 * n_terms + F.round(BM25_WEIGHT * F.col("bm25")).cast("long") + SHORTLIST - F.col("rank")
+    ok = hits.join(short, ["key", "id"]).withColumn("score", score.cast("long")).where(F.col("score") >= F.when(single, ONE_TOKEN).otherwise(MORE_TOKENS))
+    code = F.create_map(*[F.lit(x) for kv in TYPE_CODE.items() for x in kv])
+    refs = graph.nodes.select("id", F.concat(F.coalesce(F.try_element_at(code, F.col("type")), F.col("type")), F.lit(":"), F.regexp_replace("id", "^[^:]*:", "")).alias("ref"))
+    best = ok.join(refs, "id").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("m"), "ref", "id")).alias("b"))
+    top = s.join(best, "key").select("doc_id", "start", "end", "bytes", F.col("b.id").alias("node_id"), F.col("b.ref").alias("ref"), (-F.col("b.m")).alias("score"))
+    kind = docs.schema["doc_id"].dataType
+    out = T.StructType([T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("node_id", T.StringType()), T.StructField("score", T.LongType())])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "start", "end"], ascending=[False, True, False])
+        pdf = pdf.sort_values(["score", "bytes", "start", "ref"], ascending=[False, False, True, True])
         taken: list[tuple[int, int]] = []
         keep = []
         for i, (a, b) in enumerate(zip(pdf.start, pdf.end, strict=True)):
             if all(b <= x or a >= y for x, y in taken):
                 taken.append((a, b))
                 keep.append(i)
-        return pdf.iloc[keep].sort_values("start")
+        return pdf.iloc[keep].sort_values("start")[["doc_id", "start", "end", "node_id", "score"]]
 
-    chosen = top.groupBy("doc_id").applyInPandas(choose, "doc_id long, start long, end long, id string, score long")
-    return chosen.join(s.select("doc_id", "start", "end", "span"), ["doc_id", "start", "end"]).select("doc_id", "start", "end", "span", F.col("id").alias("node_id"), "score")
+    chosen = top.groupBy("doc_id").applyInPandas(choose, out)
+    texts = docs.select(F.col("doc_id").alias("d"), "text").dropDuplicates(["d"])
+    whole = chosen.join(texts, chosen.doc_id == texts.d)
+    return whole.select("doc_id", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("span"), "node_id", "score")
 
 
 def render(text: str, marks: list[tuple[int, int, str]]) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.model import EXPANSIONS, STOPWORDS, SUFFIXES, SYNONYMS, Graph
+from loomgraph.model import EXPANSIONS, Graph
 from loomgraph.operators import kql, traverse
 from loomgraph.session import cut_lineage
 
@@ -23,14 +23,8 @@ def query_terms(text: str) -> list[str]:
     """The expanded terms of a query, computed as ``expand_terms`` does for columns."""
     import re
 
-    def norm(t: str) -> str | None:
-        if t.isnumeric() or t in STOPWORDS:
-            return None
-        cut = next((t[: -len(s)] for s in SUFFIXES if t.endswith(s) and len(t.encode()) > len(s) + 2), t)
-        return None if cut in STOPWORDS else SYNONYMS.get(cut, cut)
-
     def toks(s: str) -> list[str]:
-        return [n for n in (norm(t) for t in re.findall(r"[^\W_]+", s.lower())) if n]
+        return [n for n in (X.normal_word(t) for t in re.findall(r"[^\W_]+", s.lower())) if n]
 
     def expand(s: str) -> list[str]:
         return list(dict.fromkeys(x for t in toks(s) for x in (t, *EXPANSIONS.get(t, ()))))
@@ -56,10 +50,29 @@ def fields(graph: Graph, nodes: DataFrame) -> DataFrame:
     return out.withColumn("weight", weight[F.col("field")].cast("long"))
 
 
-def exploded(df: DataFrame, *columns: str) -> DataFrame:
-    """The normalised tokens of column text, one row each."""
-    raw = df.select(*columns, F.explode(X.raw_tokens(F.col("text"))).alias("raw"))
-    return raw.select(*columns, X.normal_token(F.col("raw")).alias("token")).where("token is not null")
+def token_counts(df: DataFrame) -> DataFrame:
+    """token, n, docs of columns id, text.  Words are counted first and only distinct ones are stemmed."""
+    raw = df.select("id", F.explode(X.raw_tokens(F.col("text"))).alias("raw")).where(X.is_token(F.col("raw")))
+    per = raw.groupBy("raw", "id").agg(F.count("*").alias("c"))
+    token = per.select("raw").distinct().select("raw", X.normal_token(F.col("raw")).alias("token"))
+    one = per.join(token, "raw").groupBy("token", "id").agg(F.sum("c").alias("c"))
+    return one.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+
+
+def asked_words(terms: DataFrame) -> DataFrame:
+    """raw, token: the words that stand for a term of the caller's queries."""
+    rows = sorted(X.words_of({r["term"] for r in terms.select("term").distinct().collect()}).items())
+    return terms.sparkSession.createDataFrame(rows, "raw string, token string")
+
+
+def counted(df: DataFrame, asked: DataFrame, weight: Column) -> DataFrame:
+    """id, term, n of column text: asked terms by themselves, all other tokens together under null.
+
+    Nothing is stemmed: whether a word counts, and which term it stands for, are lookups.
+    """
+    raw = df.select("id", weight.alias("w"), F.explode(X.raw_tokens(F.col("text"))).alias("raw")).where(X.is_token(F.col("raw")))
+    per = raw.join(F.broadcast(asked), "raw", "left").groupBy("id", F.col("token").alias("term")).agg(F.sum("w").alias("n"))
+    return cut_lineage(per)  # every figure comes from these counts
 
 
 def _bm25(tf: Column, dl: Column, idf: Column, avgdl: Column) -> Column:
@@ -68,12 +81,7 @@ def _bm25(tf: Column, dl: Column, idf: Column, avgdl: Column) -> Column:
 
 def corpus(graph: Graph, nodes: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(q, id, term, tf, dl), (q, term, df, idf) and one row (docs, avgdl)."""
-    toks = exploded(fields(graph, nodes), "id", "field", "weight")
-    wanted = terms.select(F.col("term").alias("token")).distinct()
-    # One pass: lengths count every token, frequencies only the queries' terms.
-    hit = toks.join(F.broadcast(wanted.withColumn("asked", F.lit(True))), "token", "left")
-    per = hit.groupBy("id", F.when(F.col("asked"), F.col("token")).alias("term")).agg(F.sum("weight").alias("n"))
-    per = cut_lineage(per)  # every figure below comes from these counts
+    per = counted(fields(graph, nodes), asked_words(terms), F.col("weight"))
     lengths = per.groupBy("id").agg(F.sum("n").alias("dl"))
     size = nodes.agg(F.count("*").alias("docs")).join(lengths.agg(F.sum("dl").alias("total"))).select("docs", (F.col("total") / F.greatest(F.col("docs"), F.lit(1))).alias("avgdl"))
     tf = per.where("term is not null").withColumnRenamed("n", "tf").join(lengths, "id")
@@ -93,10 +101,7 @@ def bm25_raw(graph: Graph, queries: list[str], features: bool = True) -> DataFra
     own = scored.groupBy("q", "id").agg(F.sum(_bm25(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"))).alias("own"), F.count("*").alias("hits"), F.sum("idf").alias("matched"))
     # Neighbours count with their id, name, description and aliases, once each.
     short = fields(graph.with_(notes=graph.notes.limit(0)), graph.nodes).where("field in ('id', 'name', 'description', 'alias')")
-    ntok = exploded(short, "id")
-    wanted = terms.select(F.col("term").alias("token")).distinct().withColumn("asked", F.lit(True))
-    nper = ntok.join(F.broadcast(wanted), "token", "left").groupBy("id", F.when(F.col("asked"), F.col("token")).alias("term")).agg(F.count("*").alias("n"))
-    nper = cut_lineage(nper)
+    nper = counted(short, asked_words(terms), F.lit(1).cast("long"))
     nlen = nper.groupBy("id").agg(F.sum("n").alias("dl"))
     nscore = nper.where("term is not null").withColumnRenamed("n", "tf").join(nlen, "id").join(F.broadcast(terms), "term").join(F.broadcast(idf.drop("df")), ["q", "term"]).join(F.broadcast(size))
     nscore = nscore.groupBy("q", F.col("id").alias("b")).agg(F.sum(_bm25(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"))).alias("s"))
@@ -123,7 +128,8 @@ def _field_boosts(graph: Graph, nodes: DataFrame, terms: DataFrame, candidates:
     ordered = F.broadcast(terms.sparkSession.createDataFrame(list(lists.items()), "q int, qt array<string>"))
     f = fields(graph, nodes)
     place = ["id", "field", "place"]
-    hit = exploded(f, *place).join(F.broadcast(terms.withColumnRenamed("term", "token")), "token")
+    raw = f.select(*place, F.explode(X.raw_tokens(F.col("text"))).alias("raw")).join(F.broadcast(asked_words(terms)), "raw")
+    hit = raw.join(F.broadcast(terms.withColumnRenamed("term", "token")), "token")
     two = hit.groupBy("q", *place).agg(F.countDistinct("token").alias("n")).where("n >= 2").drop("n")
     near = X.proximity_hits(X.tokens(F.col("text")), F.col("qt"))
     spans = two.join(f, place).join(ordered, "q").groupBy("q", "id").agg(F.max(near).alias("near"))
@@ -188,10 +194,10 @@ def hybrid(fuzzy: DataFrame, bm25: DataFrame, weights: tuple[float, float] = (0.
 def build_index(graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(term, node_id), (term, df, idf) and one row (docs, avgdl) of the persisted index.
 
-    Index tokens are lower-cased runs of letters and digits of more than two bytes, unstemmed, and
-    count once a document.
+    Index tokens are lower-cased runs of letters and digits of more than two bytes, unstemmed, of
+    the nodes' own fields (notes are left out), and count once a document.
     """
-    f = fields(graph, graph.nodes).where("field <> 'tags'")
+    f = fields(graph.with_(notes=graph.notes.limit(0)), graph.nodes)
     t = f.select("id", F.explode(X.raw_tokens(F.col("text"))).alias("term")).where(F.octet_length("term") > 2).distinct()
     size = t.groupBy("id").agg(F.count("*").alias("dl")).agg(F.sum("dl").alias("total")).join(graph.nodes.agg(F.count("*").alias("docs"))).select("docs", (F.col("total") / F.greatest("docs", F.lit(1))).alias("avgdl"))
     df = t.groupBy("term").agg(F.count("*").alias("df"))
@@ -199,13 +205,42 @@ def build_index(graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
     return t.select("term", F.col("id").alias("node_id")), stats, size
 
 
+def save_index(index: tuple[DataFrame, DataFrame, DataFrame], path: str, buckets: int = 64) -> None:
+    """Writes an index: postings and figures by a hash of their term, so a search reads few files."""
+    by = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    for df, name in zip(index[:2], ("postings", "terms"), strict=True):
+        df.withColumn("bucket", by).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    index[0].groupBy("node_id").agg(F.count("*").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    index[2].withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/size")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A written index, as ``build_index`` gives it."""
+    read = lambda name, *c: spark.read.parquet(f"{path}/{name}").select(*c)
+    return read("postings", "term", "node_id"), read("terms", "term", "df", "idf"), read("size", "docs", "avgdl")
+
+
+def stored_search(spark: SparkSession, path: str, queries: list[str]) -> DataFrame:
+    """``indexed_search`` of a written index: only the buckets of the queries' terms are read."""
+    size = spark.read.parquet(f"{path}/size")
+    terms = term_table(spark, queries)
+    buckets = size.first()["buckets"]
+    wanted = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]  # the caller's terms
+    part = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("bucket").isin(wanted)).drop("bucket")
+    hits = part("postings").join(F.broadcast(terms), "term").join(part("terms"), "term").join(spark.read.parquet(f"{path}/lengths"), "node_id").join(F.broadcast(size))
+    return _index_scores(hits)
+
+
+def _index_scores(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("q", F.col("node_id").alias("id")).agg(F.sum(_bm25(F.lit(1.0), F.col("dl"), F.col("idf"), F.col("avgdl"))).alias("raw"))
+
+
 def indexed_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: list[str]) -> DataFrame:
     """q, id, raw by the index: binary frequencies."""
     postings, stats, size = index
     terms = term_table(postings.sparkSession, queries)
     lengths = postings.groupBy("node_id").agg(F.count("*").alias("dl"))
-    hits = postings.join(F.broadcast(terms), "term").join(stats, "term").join(lengths, "node_id").join(F.broadcast(size))
-    return hits.groupBy("q", F.col("node_id").alias("id")).agg(F.sum(_bm25(F.lit(1.0), F.col("dl"), F.col("idf"), F.col("avgdl"))).alias("raw"))
+    return _index_scores(postings.join(F.broadcast(terms), "term").join(stats, "term").join(lengths, "node_id").join(F.broadcast(size)))
 
 
 def vector_search(vectors: DataFrame, nodes: DataFrame, query: list[float], limit: int = 10, least: float = 0.0) -> DataFrame:
@@ -215,12 +250,15 @@ def vector_search(vectors: DataFrame, nodes: DataFrame, query: list[float], limi
     return known.select("node_id", X.cosine(F.col("vector"), q).alias("similarity")).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "node_id").limit(limit)
 
 
-def facts(graph: Graph, text: str, limit: int = 20) -> DataFrame:
-    """node_id, fact, score: facts of the best nodes, by the words they share with the text."""
-    index = build_index(graph)
+def facts(graph: Graph, text: str, limit: int = 20, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """node_id, fact, score: facts of the best nodes, by the words they share with the text.
+
+    Blank facts and facts without a token are left out.
+    """
+    index = index or build_index(graph)
     top = indexed_search(index, [text]).orderBy(F.desc("raw"), "id").limit(max(20, 4 * limit))
     q = F.array(*map(F.lit, query_terms(text))) if query_terms(text) else F.array().cast("array<string>")
-    f = top.join(graph.nodes.select("id", "key_facts"), "id").select("id", "raw", F.explode(F.array_distinct("key_facts")).alias("fact")).withColumn("t", X.tokens(F.col("fact")))
+    f = top.join(graph.nodes.select("id", "key_facts"), "id").select("id", "raw", F.explode(F.array_distinct("key_facts")).alias("fact")).withColumn("t", X.tokens(F.col("fact"))).where(F.size("t") > 0)
     overlap = F.size(F.filter("t", lambda x: F.array_contains(q, x)))
     score = F.when(overlap > 0, F.col("raw") * (1 + overlap + overlap / F.greatest(F.size("t"), F.lit(1)))).otherwise(F.col("raw") * 0.25)
     return f.select(F.col("id").alias("node_id"), "fact", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "node_id", "fact").limit(limit)

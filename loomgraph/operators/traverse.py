@@ -35,10 +35,9 @@ def bfs(graph: Graph, starts: DataFrame, hops: int | None, direction: str = "bot
     while hops is None or depth < hops:
         depth += 1
         step = frontier.join(adj, frontier.id == adj.a).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti")
-        if hops is None or hops > 2:
-            step = cut_lineage(step)
-            if not step.take(1):
-                break
+        step = cut_lineage(step)  # each hop reads the edges once
+        if not step.take(1):
+            break
         frontier = step
         seen = seen.union(step.withColumn("depth", F.lit(depth)))
     return seen

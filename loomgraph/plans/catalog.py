@@ -225,9 +225,7 @@ def _tokens_sql(source: str, keep: str, text: str) -> str:
 
 @_add("token_counts", f", toks AS ({_tokens_sql('notes', 'id', 'body')}) SELECT token, count(*) AS n, count(DISTINCT id) AS docs FROM toks GROUP BY token")
 def _token_counts(spark: SparkSession, d: str) -> DataFrame:
-    # A token's place does not matter here, so rows of tokens and not lists: they stay in generated code.
-    per = search.exploded(D.notes(spark, d).select("id", F.col("body").alias("text")), "id").groupBy("token", "id").agg(F.count("*").alias("c"))
-    return per.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+    return search.token_counts(D.notes(spark, d).select("id", F.col("body").alias("text")))
 
 
 @_add("normalize_text", f", toks AS ({_tokens_sql('(SELECT id, name, description, ord FROM nodes)', 'id', 'description')}) SELECT n.id, coalesce(t.text, '') AS text FROM nodes n LEFT JOIN (SELECT id, string_agg(token, ' ') AS text FROM toks GROUP BY id) t ON t.id = n.id")
@@ -301,7 +299,7 @@ def _hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 _INDEX = (
-    ", f AS (SELECT id, id AS text FROM nodes UNION ALL SELECT id, name FROM nodes UNION ALL SELECT id, description FROM nodes UNION ALL SELECT id, unnest(alias) FROM nodes UNION ALL SELECT id, unnest(key_facts) FROM nodes UNION ALL SELECT node_id, body FROM notes), "
+    ", f AS (SELECT id, id AS text FROM nodes UNION ALL SELECT id, name FROM nodes UNION ALL SELECT id, description FROM nodes UNION ALL SELECT id, unnest(alias) FROM nodes UNION ALL SELECT id, unnest(key_facts) FROM nodes), "
     "post AS (SELECT DISTINCT id, term FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM f) WHERE strlen(term) > 2)"
 )
 
@@ -327,8 +325,9 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
 def _annotate(spark: SparkSession, d: str) -> DataFrame:
     from loomgraph.operators.annotate import annotate
 
-    docs = D.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return annotate(D.geo(spark, d), docs)
+    g = D.graph(spark, d)
+    texts = D.table(spark, d, "documents").select(F.concat(F.lit("note:doc_"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    return annotate(g, texts.union(g.nodes.select("id", "description")))
 
 
 @_add("golden_metrics", "SELECT doc_id % 10 AS q, min(r) AS first_rank, 1::BIGINT AS hit, (min(r) = 1)::BIGINT AS top1, 1 / min(r) AS rr FROM (SELECT *, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS r FROM labels) WHERE quality = 1 AND r <= 10 GROUP BY 1", None)

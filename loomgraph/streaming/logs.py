@@ -23,9 +23,15 @@ def feedback_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sessions(stream: DataFrame, gap: str = "5 minutes", late: str = "10 minutes", by: list[str] | None = None) -> DataFrame:
-    """start, end, queries of sessions; a step of exactly the gap stays in the session."""
+    """start, end, queries of sessions; a step of exactly the gap stays in the session.
+
+    Sessions of a stream need a key besides their window: columns ``by``, or one key for all lines.
+    """
     w = F.session_window("ts", gap)
-    out = stream.withWatermark("ts", late).groupBy(w, *(by or [])).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("ts", "query"))).alias("steps"))
+    keys = by or ["stream_key"]
+    if not by:  # not a literal: a constant key would be folded away
+        stream = stream.withColumn("stream_key", F.when(F.col("ts").isNotNull(), "all"))
+    out = stream.withWatermark("ts", late).groupBy(w, *keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("ts", "query"))).alias("steps"))
     return out.select(*(by or []), F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", F.transform("steps", lambda s: s["query"]).alias("queries"))
 
 
