@@ -101,6 +101,26 @@ def score(counts: DataFrame) -> DataFrame:
     return counts.select("*", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)), 6).alias("quality_score"))
 
 
+def baseline(graph: Graph, access: DataFrame, feedback: DataFrame, golden: DataFrame | None = None, threshold: float = 0.85) -> DataFrame:
+    """One row: the snapshot and its score, feedback rates, cost of finds and, with per-query golden metrics, their means."""
+    from loomgraph.operators import logs
+
+    fb = logs.feedback_metrics(feedback).withColumnRenamed("total", "feedback_entries")
+    out = score(snapshot(graph, threshold)).join(fb).join(logs.cost(access, feedback))
+    if golden is not None:
+        out = out.join(golden.agg(F.count("*").alias("cases"), F.avg("hit").alias("hit_rate"), F.avg("top1").alias("top1_rate"), F.avg("rr").alias("mrr"), F.avg("ndcg").alias("ndcg_at_k")))
+    return out
+
+
+def schema_dump(spark) -> DataFrame:
+    """kind, name, detail, ord of the built-in types with their prefixes, relations and edge rules."""
+    from loomgraph.model import TYPE_PREFIX
+
+    rows = [("type", t, TYPE_PREFIX.get(t, "-")) for t in NODE_TYPES] + [("relation", r, "") for r in RELATIONS]
+    rows += [("rule", r, " -> ".join(", ".join(x) or "any" for x in ends)) for r, ends in EDGE_RULES.items()]
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "kind string, name string, detail string, ord long")
+
+
 def _issue(df: DataFrame, severity: str, code: str, message: Column, when: Column | None = None) -> DataFrame:
     df = df if when is None else df.where(when)
     return df.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message"))

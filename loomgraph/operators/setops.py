@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.model import META_TYPE, Graph
+from loomgraph.model import EDGE_RULES, META_TYPE, NODE_TYPES, RELATIONS, SIMILAR, Graph
+from loomgraph.session import cut_lineage
 
 KEYS = {"nodes": ["id"], "edges": ["source_id", "relation", "target_id"], "notes": ["id"]}
 _LOCAL = {"ord"}
@@ -54,10 +55,18 @@ def merge_graphs(target: Graph, source: Graph, prefer: str = "new", metadata: bo
 
 
 def merge_summary(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """status, n: added, conflict (both sides differ), same."""
-    status = diff(target, source, keys).where("status <> 'removed'").select(F.when(F.col("status") == "added", "added").otherwise("conflict").alias("status"))
-    known = source.join(target.select(*keys), keys, "left_semi").select(F.lit("existing").alias("status"))
-    return status.union(known).groupBy("status").agg(F.count("*").alias("n"))
+    """status, n: added, conflict (both sides differ), existing (both sides agree); a row counts once."""
+    found = diff(target, source, keys).where("status <> 'removed'")
+    status = found.select(F.when(F.col("status") == "added", "added").otherwise("conflict").alias("status"))
+    same = source.join(target.select(*keys), keys, "left_semi").join(found.select(*keys), keys, "left_anti").select(F.lit("existing").alias("status"))
+    return status.union(same).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def merge_conflicts(target: DataFrame, source: DataFrame, keys: list[str], prefer: str = "new") -> DataFrame:
+    """keys, path, kept, dropped of every field in which both sides differ, whichever side wins."""
+    fields = field_diff(target, source, keys)
+    kept, dropped = ("new", "old") if prefer == "new" else ("old", "new")
+    return fields.select(*keys, "path", F.col(kept).alias("kept"), F.col(dropped).alias("dropped"))
 
 
 def import_edges(graph: Graph, edges: DataFrame, prefer: str = "new") -> tuple[Graph, DataFrame]:
@@ -78,7 +87,7 @@ def add_nodes(graph: Graph, rows: DataFrame, mode: str = "best_effort", on_confl
     w = Window.partitionBy("id")
     twice = filled.withColumn("n", F.count("*").over(w)).where("n > 1").select("id", F.lit("repeated").alias("problem")).distinct()
     bad = filled.where((F.trim("name") == "") | ~F.col("importance").between(0, 1) | ~F.coalesce(F.col("confidence").between(0, 1), F.lit(True)) | F.col("type").rlike("^G.+")).select("id", F.lit("invalid").alias("problem"))
-    problems = (twice.union(bad) if on_conflict == "skip" else known.union(twice).union(bad)).cache()
+    problems = cut_lineage(twice.union(bad) if on_conflict == "skip" else known.union(twice).union(bad))
     if dry_run or (mode == "atomic" and problems.limit(1).count()):
         return graph, problems
     fresh = filled.join(problems.select("id"), "id", "left_anti").join(graph.nodes.select("id"), "id", "left_anti").select(*graph.nodes.columns)
@@ -121,6 +130,55 @@ def orphan_notes(graph: Graph) -> DataFrame:
     return graph.notes.join(graph.nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti").select("id", "node_id")
 
 
+def edge_problems(graph: Graph, rows: DataFrame) -> DataFrame:
+    """source_id, relation, target_id, problem of new edges, the first that holds: as additions check it.
+
+    generated (relations of scans), relation (unknown), similarity (``~`` goes both ways and others do
+    not), rule (the ends' types do not fit), source and target (no such node), exists, repeated.
+    """
+    t = graph.nodes.select("id", "type").dropDuplicates(["id"])
+    e = rows.select(*KEYS["edges"], *(F.col(c) if c in rows.columns else F.lit(False).alias(c) for c in ("bidirectional",)))
+    j = e.join(t.select(F.col("id").alias("source_id"), F.col("type").alias("st")), "source_id", "left").join(t.select(F.col("id").alias("target_id"), F.col("type").alias("tt")), "target_id", "left")
+    known = graph.edges.select(*KEYS["edges"]).distinct().withColumn("known", F.lit(True))
+    j = j.join(known, KEYS["edges"], "left").withColumn("times", F.count("*").over(Window.partitionBy(*KEYS["edges"])))
+    allowed = lambda k: F.try_element_at(F.create_map(*[x for r, ends in EDGE_RULES.items() for x in (F.lit(r), F.array(*map(F.lit, ends[k])))]), F.col("relation"))
+    built = F.col("st").isin(NODE_TYPES) & F.col("tt").isin(NODE_TYPES)
+    fits = F.coalesce(F.array_contains(allowed(0), F.col("st")), F.lit(True)) & F.coalesce(F.array_contains(allowed(1), F.col("tt")), F.lit(True))
+    problem = (
+        F.when(F.col("relation").rlike("^G[A-Z_]+") & ~F.col("relation").isin(RELATIONS), "generated").when(~F.col("relation").isin([*RELATIONS, SIMILAR]), "relation")
+        .when((F.col("relation") == SIMILAR) != F.coalesce("bidirectional", F.lit(False)), "similarity").when(built & ~fits, "rule")
+        .when(F.col("st").isNull(), "source").when(F.col("tt").isNull(), "target").when(F.col("known"), "exists").when(F.col("times") > 1, "repeated")
+    )
+    return j.select(*KEYS["edges"], problem.alias("problem")).where("problem is not null").distinct()
+
+
+def add_edges(graph: Graph, rows: DataFrame, mode: str = "best_effort") -> tuple[Graph, DataFrame]:
+    """(graph, problems): edges that pass are added; atomic adds all or none."""
+    from loomgraph.model import EDGE_SCHEMA, conform
+
+    problems = edge_problems(graph, rows)
+    if mode == "atomic" and problems.limit(1).count():
+        return graph, problems
+    fresh = conform(rows, EDGE_SCHEMA).join(problems.select(*KEYS["edges"]), KEYS["edges"], "left_anti").select(*graph.edges.columns)
+    return graph.with_(edges=graph.edges.unionByName(fresh)), problems
+
+
+def add_notes(graph: Graph, rows: DataFrame) -> tuple[Graph, DataFrame]:
+    """(graph, problems): notes with a new id, a known node and a body are added."""
+    from loomgraph.model import NOTE_SCHEMA, conform
+
+    new = conform(rows, NOTE_SCHEMA)
+    j = new.join(graph.nodes.select(F.col("id").alias("node_id"), F.lit(True).alias("on")).distinct(), "node_id", "left").join(graph.notes.select("id", F.lit(True).alias("known")).distinct(), "id", "left")
+    j = j.withColumn("times", F.count("*").over(Window.partitionBy("id")))
+    why = F.when(F.trim("id") == "", "no id").when(F.trim("body") == "", "empty").when(F.col("on").isNull(), "unknown node").when(F.col("known"), "exists").when(F.col("times") > 1, "repeated")
+    j = j.withColumn("problem", why)
+    return graph.with_(notes=graph.notes.unionByName(j.where("problem is null").select(*graph.notes.columns))), j.where("problem is not null").select("id", "problem").distinct()
+
+
+def remove_note(graph: Graph, note_id: str) -> Graph:
+    return graph.with_(notes=graph.notes.where(F.col("id") != note_id))
+
+
 def remove_edges(graph: Graph, rows: DataFrame) -> Graph:
     return graph.with_(edges=graph.edges.join(rows.select(*KEYS["edges"]), KEYS["edges"], "left_anti").select(*graph.edges.columns))
 

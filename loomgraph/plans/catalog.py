@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.model import EDGE_RULES, NODE_TYPES, STOPWORDS, SUFFIXES, SYNONYMS
+from loomgraph.model import EDGE_RULES, NODE_TYPES, RELATIONS, STOPWORDS, SUFFIXES, SYNONYMS, TYPE_PREFIX
 from loomgraph.operators import kql, logs, quality, search, setops, similarity, temporal, traverse
 from loomgraph.plans import derive as D
 from loomgraph.session import cut_lineage
@@ -189,6 +189,14 @@ def _score(spark: SparkSession, d: str) -> DataFrame:
     return quality.score(quality.snapshot(D.geo(spark, d)))
 
 
+@_add("schema_dump", " UNION ALL ".join(
+    [f"SELECT 'type' AS kind, '{t}' AS name, '{TYPE_PREFIX.get(t, '-')}' AS detail" for t in NODE_TYPES] + [f"SELECT 'relation', '{r}', ''" for r in RELATIONS]
+    + [f"SELECT 'rule', '{r}', '{' -> '.join(', '.join(x) or 'any' for x in ends)}'" for r, ends in EDGE_RULES.items()]
+), None)
+def _schema(spark: SparkSession, d: str) -> DataFrame:
+    return quality.schema_dump(spark).drop("ord")
+
+
 def _rules_sql() -> str:
     rows = [f"('{r}', '{side}', '{t}')" for r, ends in EDGE_RULES.items() for side, types in zip(("source", "target"), ends, strict=True) for t in types]
     ruled = ", ".join(f"'{r}'" for r in EDGE_RULES)

@@ -95,24 +95,46 @@ def read_markdown(spark: SparkSession, path: str, notes_as_nodes: bool = False)
     return Graph(part("node", NODE_SCHEMA), conform(spark.createDataFrame([], EDGE_SCHEMA), EDGE_SCHEMA), part("note", NOTE_SCHEMA))
 
 
-#: Names of older documents.
-LEGACY_RELATIONS = {"READS": "READS_FROM", "STORES_IN": "STORED_IN", "DOCUMENTS": "DOCUMENTED_IN", "GOVERNS": "GOVERNED_BY", "AFFECTS": "AFFECTED_BY", "CREATES": "CREATED_BY"}
+# Fixed values of the migration: names of types and relations in older documents, in lower case
+# without anything but letters and digits.
+TYPE_ALIASES = {
+    "feature": "Feature", "features": "Feature", "concept": "Concept", "concepts": "Concept", "interface": "Interface", "interfaces": "Interface", "iface": "Interface",
+    "process": "Process", "processes": "Process", "datastore": "DataStore", "datastores": "DataStore", "data": "DataStore", "datastorage": "DataStore",
+    "attribute": "Attribute", "attributes": "Attribute", "entity": "Entity", "entities": "Entity", "note": "Note", "notes": "Note", "rule": "Rule", "rules": "Rule",
+    "convention": "Convention", "conventions": "Convention", "bug": "Bug", "bugs": "Bug", "decision": "Decision", "decisions": "Decision",
+    "openquestion": "OpenQuestion", "question": "OpenQuestion", "questions": "OpenQuestion", "claim": "Claim", "claims": "Claim", "insight": "Insight", "insights": "Insight",
+    "reference": "Reference", "references": "Reference", "ref": "Reference", "refs": "Reference", "term": "Term", "terms": "Term", "status": "Status", "statuses": "Status",
+    "doubt": "Doubt", "doubts": "Doubt",
+}
+RELATION_ALIASES = {
+    "documentedin": "DOCUMENTED_IN", "documents": "DOCUMENTED_IN", "has": "HAS", "triggers": "TRIGGERS", "affectedby": "AFFECTED_BY", "affects": "AFFECTED_BY",
+    "readsfrom": "READS_FROM", "reads": "READS_FROM", "governedby": "GOVERNED_BY", "governs": "GOVERNED_BY", "dependson": "DEPENDS_ON", "depends": "DEPENDS_ON",
+    "availablein": "AVAILABLE_IN", "supports": "SUPPORTS", "summarizes": "SUMMARIZES", "relatedto": "RELATED_TO", "doubtd": "RELATED_TO",
+    "contradicts": "CONTRADICTS", "contradictsx": "CONTRADICTS", "createdby": "CREATED_BY", "creates": "CREATED_BY", "decidedby": "DECIDED_BY", "uses": "USES",
+    "transitions": "TRANSITIONS", "available": "AVAILABLE_IN", "storedin": "STORED_IN",
+}
+
+
+def _known(names: dict[str, str], c: str):
+    """The present name of a type or relation; unknown ones stay."""
+    m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.coalesce(F.try_element_at(m, F.regexp_replace(F.lower(c), "[^a-z0-9]", "")), F.col(c))
 
 
 def migrate(graph: Graph, compat: bool = False) -> tuple[Graph, DataFrame]:
-    """(graph, report): old relation names mapped, ``<-`` edges turned round, doubles dropped.
+    """(graph, report): old names of types and relations mapped, edges marked ``<-`` before or behind turned, doubles dropped.
 
     compat also maps STORED_IN to READS_FROM, as older migrations did.
     """
-    names = {**LEGACY_RELATIONS, **({"STORED_IN": "READS_FROM"} if compat else {})}
-    m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     e = graph.edges
-    back = F.col("relation").startswith("<-")
-    r = F.regexp_replace("relation", "^<-", "")
-    turned = e.withColumns({"s": F.when(back, F.col("target_id")).otherwise(F.col("source_id")), "t": F.when(back, F.col("source_id")).otherwise(F.col("target_id")), "r": F.coalesce(F.try_element_at(m, r), r)})
-    out = turned.withColumns({"source_id": F.col("s"), "target_id": F.col("t"), "was": F.col("relation"), "relation": F.col("r")})
-    report = out.agg(F.count("*").alias("edges"), F.count_if(F.col("was") != F.col("relation")).alias("renamed"), F.count_if(F.col("was").startswith("<-")).alias("turned"))
-    return graph.with_(edges=out.dropDuplicates(["source_id", "relation", "target_id", "detail"]).select(*e.columns)), report
+    back = F.col("relation").startswith("<-") | F.col("relation").endswith("<-")
+    named = e.withColumns({"back": back, "bare": F.trim(F.regexp_replace("relation", "^<-|<-$", "")), "was": F.col("relation")})
+    plain = F.when(F.col("bare") == "?", "DEPENDS_ON").otherwise(_known({**RELATION_ALIASES, **({"storedin": "READS_FROM"} if compat else {})}, "bare"))
+    turn = lambda a, b: F.when(F.col("back"), F.col(b)).otherwise(F.col(a))
+    out = named.select(*[{"source_id": turn("source_id", "target_id"), "target_id": turn("target_id", "source_id"), "relation": plain}.get(c, F.col(c)).alias(c) for c in e.columns], "back", "was")
+    types = graph.nodes.withColumn("was", F.col("type")).withColumn("type", _known(TYPE_ALIASES, "type"))
+    report = out.agg(F.count("*").alias("edges"), F.count_if(F.col("was") != F.col("relation")).alias("renamed"), F.count_if("back").alias("turned")).join(types.agg(F.count_if(F.col("was") != F.col("type")).alias("types")))
+    return graph.with_(nodes=types.drop("was"), edges=out.dropDuplicates(["source_id", "relation", "target_id", "detail"]).select(*e.columns)), report
 
 
 def sections(text: str, kind: str = "md") -> list[tuple[list[str], str, int, int, str]]:

@@ -81,6 +81,21 @@ def read_vectors(spark: SparkSession, path: str, nodes: DataFrame) -> tuple[Data
     return conform(j.where("problem is null").select(F.col("id").alias("node_id"), "vector"), VECTOR_SCHEMA), j.where("problem is not null").select("id", "problem")
 
 
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """The vector store as lines of {"id", "vector"}, which ``read_vectors`` reads."""
+    vectors.select(F.col("node_id").alias("id"), "vector").write.mode("overwrite").json(path)
+
+
+def export_as_of(nodes: DataFrame, edges: DataFrame, notes: DataFrame, ts_ms: int, path: str) -> Graph:
+    """Writes the graph as it was at a time, from versioned rows (ts_ms, ord, deleted besides the schemas), and returns it."""
+    from loomgraph.operators import setops, temporal
+
+    at = lambda df, kind, schema: conform(temporal.as_of(df, setops.KEYS[kind], ts_ms), schema)
+    graph = Graph(at(nodes, "nodes", NODE_SCHEMA), at(edges, "edges", EDGE_SCHEMA), at(notes, "notes", NOTE_SCHEMA), {"as_of": ts_ms})
+    write(graph, path)
+    return graph
+
+
 def synthetic(spark: SparkSession, n: int, k: int = 5) -> Graph:
     """A deterministic graph of n nodes with k edges each, for benchmarks."""
     types = F.array(*map(F.lit, ["Concept", "Process", "DataStore", "Interface", "Rule", "Feature", "Decision"]))
