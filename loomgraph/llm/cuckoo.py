@@ -76,12 +76,22 @@ class CuckooFilter:
 
     def delete(self, keys: np.ndarray) -> None:
         """Takes out one slot for each key; only keys that were inserted may be given."""
-        for p, a, b in zip(*self._places(keys), strict=True):
-            for at in (a, b):
-                hit = np.flatnonzero(self.table[at] == p)
-                if len(hit):
-                    self.table[at, hit[0]] = 0
-                    break
+        prints, one, two = self._places(keys)
+        rest = self._take(prints, one)
+        self._take(prints[rest], two[rest])
+
+    def _take(self, prints: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Takes each fingerprint out of its bucket, one row a bucket each turn; the rows that were not there."""
+        todo, left = np.arange(len(prints)), [np.zeros(0, np.int64)]
+        while len(todo):
+            _, first = np.unique(at[todo], return_index=True)
+            rows = todo[first]
+            same = self.table[at[rows]] == prints[rows, None]
+            ok = same.any(axis=1)
+            self.table[at[rows[ok]], same[ok].argmax(axis=1)] = 0
+            left.append(rows[~ok])
+            todo = np.delete(todo, first)
+        return np.concatenate(left)
 
     @classmethod
     def of(cls, keys: np.ndarray) -> CuckooFilter:

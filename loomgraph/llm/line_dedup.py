@@ -206,11 +206,24 @@ class LineIndex:
 
     ``insert`` and ``delete`` append to the reference table and bring the filters of the shards
     concerned up to date: a key enters its filter when its count comes to 1 and is deleted from it
-    when its count falls to 0.  ``seen`` tells the lines of new documents that the index holds.
+    when its count falls to 0.  ``seen`` tells the lines of new documents that the index holds, and
+    ``kept`` gives new documents without them.  A change is done when its filters are written; an
+    index that is opened again goes on from the last change that is done.
     """
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 64, min_chars: int = MIN_CHARS):
-        self.spark, self.path, self.shards, self.min_chars, self.version = spark, path.rstrip("/"), shards, min_chars, 0
+        self.spark, self.path, self.shards, self.min_chars = spark, path.rstrip("/"), shards, min_chars
+        self.version = self._last()
+
+    def _last(self) -> int:
+        """The last change whose filters are whole; 0 for a new index."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/filters")
+        store = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not store.exists(root):
+            return 0
+        names = [x.getPath() for x in store.listStatus(root)]
+        done = [int(p.getName()[1:]) for p in names if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return max(done, default=0)
 
     def _keys(self, docs: DataFrame) -> DataFrame:
         shards, least = self.shards, self.min_chars
@@ -224,7 +237,8 @@ class LineIndex:
         return with_ids(docs).mapInArrow(run, "shard int, k1 long, k2 long, doc_id long").distinct()
 
     def _refs(self) -> DataFrame:
-        return self.spark.read.schema("shard int, k1 long, k2 long, doc_id long, d int").parquet(f"{self.path}/refs/*")
+        # By name: references of a change that was not done do not count.
+        return self.spark.read.schema("shard int, k1 long, k2 long, doc_id long, d int").parquet(*(f"{self.path}/refs/v{i + 1}" for i in range(self.version)))
 
     def counts(self) -> DataFrame:
         """Exact counts: shard, k1, k2, n_docs, max_doc of keys that documents hold now."""
@@ -236,15 +250,16 @@ class LineIndex:
 
     def _change(self, rows: DataFrame, sign: int) -> LineIndex:
         before = self.counts().select("shard", "k1", "k2", F.col("n_docs").alias("was")) if self.version else None
-        rows.withColumn("d", F.lit(sign)).write.parquet(f"{self.path}/refs/v{self.version + 1}")
+        rows.withColumn("d", F.lit(sign)).write.mode("overwrite").parquet(f"{self.path}/refs/v{self.version + 1}")
+        old = self.filters() if self.version else None
+        self.version += 1
         now = self.counts().select("shard", "k1", "k2", F.col("n_docs").alias("now"))
         if before is None:
             before = now.limit(0).withColumnRenamed("now", "was")
-        before = X.stored(before, "line-counts") if self.version else before
         change = now.join(before, ["shard", "k1", "k2"], "full").where("now is null or was is null")
         events = change.select("shard", "k1", "k2", F.col("now").isNotNull().alias("enters"), F.lit(None).cast("binary").alias("filter"))
-        if self.version:
-            events = events.unionByName(self.filters(), allowMissingColumns=True)
+        if old is not None:
+            events = events.unionByName(old, allowMissingColumns=True)
 
         def run(table: pa.Table) -> pa.Table:
             old = [x for x in table.column("filter").to_pylist() if x is not None]
@@ -261,8 +276,7 @@ class LineIndex:
                 filt = None if old else CuckooFilter.of(probe[enters])
             return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "filter": pa.array([filt.to_bytes() if filt else b""], pa.binary())})
 
-        self.version += 1
-        events.groupBy("shard").applyInArrow(run, "shard int, filter binary").write.parquet(f"{self.path}/filters/v{self.version}")
+        events.groupBy("shard").applyInArrow(run, "shard int, filter binary").write.mode("overwrite").parquet(f"{self.path}/filters/v{self.version}")
         if self.filters().where(F.octet_length("filter") == 0).limit(1).count():
             self._rebuild()
         return self
@@ -278,8 +292,8 @@ class LineIndex:
 
         keys = self.counts().select("shard", "k1", "k2")
         self.version += 1
-        keys.limit(0).withColumn("d", F.lit(0)).select("shard", "k1", "k2", F.lit(0).cast("long").alias("doc_id"), "d").write.parquet(f"{self.path}/refs/v{self.version}")
-        keys.groupBy("shard").applyInArrow(run, "shard int, filter binary").write.parquet(f"{self.path}/filters/v{self.version}")
+        keys.limit(0).withColumn("d", F.lit(0)).select("shard", "k1", "k2", F.lit(0).cast("long").alias("doc_id"), "d").write.mode("overwrite").parquet(f"{self.path}/refs/v{self.version}")
+        keys.groupBy("shard").applyInArrow(run, "shard int, filter binary").write.mode("overwrite").parquet(f"{self.path}/filters/v{self.version}")
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._change(self._keys(docs), 1)
@@ -308,3 +322,19 @@ class LineIndex:
 
         maybe = probes.unionByName(self.filters(), allowMissingColumns=True).groupBy("shard").applyInArrow(run, "shard int, k1 long, k2 long, doc_id long")
         return maybe.join(self.counts(), ["shard", "k1", "k2"]).select("doc_id", "k1", "k2", "n_docs", "max_doc")
+
+    def kept(self, docs: DataFrame, min_docs: int = 1) -> DataFrame:
+        """doc_id, text, n_lines, n_dropped of new documents without lines that ``min_docs`` documents of the index hold."""
+        n, least = X.bucket_count(self.spark), self.min_chars
+        src = with_ids(docs)
+        hits = self.seen(docs).where(F.col("n_docs") >= min_docs).select("doc_id", "k1", "k2").distinct()
+
+        def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = X.Sender(n)
+            for batch in batches:
+                ids, k1, k2 = (batch.column(c).to_numpy() for c in ("doc_id", "k1", "k2"))
+                yield from out.add(_DROP, K.doc_hash(ids), {"to": K.doc_hash(ids), "mark": _mark(ids, k1.view(K.U64), k2.view(K.U64))})
+            yield from out.flush()
+
+        schema, ddl = arrow_schema(src, (), [("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+        return X.shuffled(hits.mapInArrow(send, X.FRAMES).union(X.text_frames(src, n, tag=_TEXT)), n).mapInArrow(_apply(least, schema), ddl)

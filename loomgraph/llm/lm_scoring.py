@@ -1,7 +1,8 @@
 """Language-model scoring by deleted interpolation.
 
 p(w | v) = l2 c(v, w) / c(v) + l1 c(w) / N + l0 / (V + 1), with one set of weights for each bucket
-floor(log2 c(v)) of the context's frequency.  The weights come from expectation-maximisation on
+floor(log2 c(v)) of the context's frequency; where c(v) is 0 only the other two count, and the
+probabilities of all words still sum to one.  The weights come from expectation-maximisation on
 held-out counts: a tenth of the training documents is counted apart, and the weights maximise its
 likelihood under the counts of the rest; the final model uses the counts of all training documents.
 
@@ -272,7 +273,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 _, at, ctx, _, pair_at = _distinct(tok, before)
                 words, pairs = _opened(counts.as_py(), np.int64, np.int64)
                 c_w, c_v, c_vw = words[at].astype(float), words[ctx].astype(float), pairs[pair_at].astype(float)
-                weight = lam[bucket_of(c_v)]
+                weight = lam[bucket_of(c_v)].copy()
+                weight[c_v == 0, 0] = 0  # an unseen context has no bigrams, so the others share the whole
+                weight /= weight.sum(axis=1, keepdims=True)
                 p = weight[:, 0] * c_vw / np.maximum(c_v, 1) + weight[:, 1] * c_w / max(total, 1) + weight[:, 2] / (distinct + 1)
                 base = np.log10((c_w + 0.1) / (total + 0.1 * (distinct + 1)))
                 cut = offs[:-1]

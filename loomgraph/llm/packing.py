@@ -30,6 +30,15 @@ CAPACITY = 2048
 _FAR = regex.compile(r"[^\x00-ɏ]").search
 
 
+@functools.lru_cache(2)
+def _library(path: str):
+    """The library's tokenizer, loaded by workers that meet a text which needs it."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
+
+
 @functools.lru_cache(2)
 def encoder(path: str):
     """text -> ids of a byte-level BPE file, as the tokenizers library gives them.
@@ -40,11 +49,9 @@ def encoder(path: str):
     import json
 
     import tiktoken
-    from tokenizers import Tokenizer
 
     from loomgraph.llm.bpe import byte_alphabet
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -53,12 +60,12 @@ def encoder(path: str):
     # Fixed value: the split pattern of byte-level pre-tokenizers.
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    slow = Tokenizer.from_file(path)
     marks = list(special)
+    del spec, places, ranks
 
     def encode(text: str) -> list[int]:
         if _FAR(text) or any(m in text for m in marks):
-            return slow.encode(text, add_special_tokens=False).ids
+            return _library(path).encode(text, add_special_tokens=False).ids
         return fast(text)
 
     return encode
@@ -198,7 +205,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
                 cuts = [0, *range(head, len(tokens) + 1, capacity)]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     body = tokens[a:b]
-                    for column, value in zip(out, (doc, i, a, b - a, zlib.crc32(body.tobytes()), int(seen[b - a]), body.astype(np.int32)), strict=True):
+                    for column, value in zip(out, (doc, i, a, b - a, zlib.crc32(body.tobytes()), int(seen[b - a]), body.astype(np.int32) if ids else None), strict=True):
                         column.append(value)
                     seen[b - a] += 1
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())

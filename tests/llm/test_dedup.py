@@ -64,15 +64,28 @@ def test_lines(docs, rows):
 
 
 def test_line_index_is_reversible(spark, docs, tmp_path):
-    index = line_dedup.LineIndex(spark, str(tmp_path / "ix"), 4)
-    state = lambda: {tuple(r) for r in index.counts().collect()}
+    path = str(tmp_path / "ix")
+    index = line_dedup.LineIndex(spark, path, 4)
+    state = lambda ix: {tuple(r) for r in ix.counts().collect()}
     a, b = docs.where("doc_id < 200"), docs.where("doc_id >= 200")
     index.insert(a)
-    one = state()
+    one = state(index)
     index.insert(b)
-    assert state() != one and index.seen(b).count() > 0
-    index.delete(b)
-    assert state() == one
+    assert state(index) != one and index.seen(b).count() > 0
+    opened = line_dedup.LineIndex(spark, path, 4)  # goes on where the other stopped
+    assert opened.version == index.version and state(opened) == state(index)
+    opened.delete(b)
+    assert state(opened) == one
+    keys = {(r.shard, r.k1, r.k2) for r in opened.counts().collect()}
+    for r in opened.filters().collect():  # the filters hold what is left, and not what was taken back
+        f = CuckooFilter.from_bytes(bytes(r.filter))
+        own = np.array([(x, y) for s, x, y in keys if s == r.shard], np.int64).reshape(-1, 2).view(np.uint64)
+        assert f.contains(own[:, 0] ^ line_dedup.K.mix(own[:, 1])).all() and (f.table != 0).sum() == len(own)
+    text = "This very line of furniture stands on quite many pages"
+    new = spark.createDataFrame([(5000, "fresh line\n" + text), (5001, None)], "doc_id long, text string")
+    assert {r.doc_id: (r.text, r.n_dropped) for r in opened.kept(new, 5).collect()} == {5000: ("fresh line", 1), 5001: ("", 0)}
+    opened.delete(a)
+    assert state(opened) == set() and {r.n_dropped for r in opened.kept(new, 1).collect()} == {0}
 
 
 def test_cuckoo():

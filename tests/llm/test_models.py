@@ -105,6 +105,69 @@ def test_lm(docs):
     assert lm_scoring.score_documents(docs.limit(0)).count() == 0
 
 
+def test_lm_score(spark):
+    """The score against brute-force counts and EM on exact held-out probabilities; probabilities sum to one."""
+    import numpy as np
+
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(80)]
+    texts = {}
+    for d in range(300):
+        out = [rnd.choice(words)]
+        for _ in range(rnd.randint(0, 60)):
+            out.append(words[(words.index(out[-1]) * 7 + rnd.choice([1, 1, 1, 2, 3])) % 80] if rnd.random() < 0.7 else rnd.choice(words))
+        texts[d] = " ".join(out)
+    part = {d: zlib.crc32(str(d).encode()) % 10 for d in texts}
+
+    def count(docs):
+        uni, bi, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+        for d in docs:
+            toks = [*texts[d].split(), None]
+            for v, w in zip(["<s>", *toks], toks, strict=False):
+                uni[w] += 1
+                bi[v, w] += 1
+                ctx[v] += 1
+        return uni, bi, ctx
+
+    uni, bi, ctx = count([d for d in texts if part[d]])
+    n, v = sum(uni.values()), len(uni)
+    u8, b8, c8 = count([d for d in texts if 0 < part[d] < 9])
+    n8 = sum(u8.values())
+    bucket = lambda c: min(int(math.log2(c)) + 1, lm_scoring.BUCKETS - 1) if c else 0
+    held = collections.defaultdict(list)
+    for d in texts:
+        if part[d] == 9:
+            toks = [*texts[d].split(), None]
+            for a, w in zip(["<s>", *toks], toks, strict=False):
+                held[bucket(c8[a])].append((b8[a, w] / max(c8[a], 1), u8[w] / n8, 1 / (v + 1)))
+
+    def em(rows):
+        p, lam = np.array(rows), np.full(3, 1 / 3)
+        for _ in range(60):
+            share = lam * p
+            lam = (share / share.sum(axis=1, keepdims=True)).sum(axis=0) + 0.5
+            lam /= lam.sum()
+        return lam
+
+    everything = em([r for rows in held.values() for r in rows])
+    lam = {b: em(held[b]) if held[b] else everything for b in range(lm_scoring.BUCKETS)}
+
+    def prob(a, w):
+        weights = lam[bucket(ctx[a])].copy()
+        if not ctx[a]:
+            weights[0] = 0
+            weights /= weights.sum()
+        return float(weights @ [bi[a, w] / max(ctx[a], 1), uni[w] / n, 1 / (v + 1)])
+
+    for a in ("<s>", "w3", "never seen"):
+        assert abs(sum(prob(a, w) for w in uni) + prob(a, "unknown word") - 1) < 1e-9
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in lm_scoring.score_documents(docs).collect():
+        toks = [*texts[r.doc_id].split(), None]
+        want = sum(math.log10(prob(a, w)) for a, w in zip(["<s>", *toks], toks, strict=False))
+        assert abs(r.score - want) < 0.01 * abs(want), (r.doc_id, r.score, want)
+
+
 def test_lm_probabilities():
     """Weights are positive and sum to one, and follow where the held-out counts point."""
     import numpy as np
