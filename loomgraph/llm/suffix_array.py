@@ -32,20 +32,29 @@ def suffix_array(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, list[np
     rank = np.zeros(n + parts, np.int64)
     rank[at] = data.astype(np.int64) + parts
     rank[cut[1:] + np.arange(parts)] = np.arange(parts)
-    levels, width, longest = [rank], 1, int(np.diff(cut).max(initial=0)) + 1
-    order = np.argsort(rank, kind="stable")
-    while width < longest:
-        follow = np.full(len(rank), -1, np.int64)
-        follow[: len(rank) - width] = rank[width:]
-        key = rank * (int(rank.max(initial=0)) + 2 if width == 1 else len(rank) + 1) + follow + 1
-        order = np.argsort(key, kind="stable")
-        new = K.group_starts(key[order])
-        rank = np.empty(len(key), np.int64)
+    def doubled(level: np.ndarray, width: int, limit: int) -> np.ndarray:
+        """Keys of twice as many symbols; values of ``level`` are below ``limit``."""
+        follow = np.zeros(len(level), np.int64)
+        follow[: len(level) - width] = level[width:] + 1
+        return level * (limit + 1) + follow
+
+    # Two and four symbols fit into one key as they are; only then is there something to sort.
+    limit, longest = parts + 256, int(np.diff(cut).max(initial=0)) + 1
+    levels, width = [rank], 1
+    while width < 4 and (limit + 1) ** 2 < 1 << 62:
+        rank, limit, width = doubled(rank, width, limit), (limit + 1) ** 2, 2 * width
+        levels.append(rank)
+    while True:
+        order = np.argsort(rank)  # equal keys in any order: their ranks are equal
+        new = K.group_starts(rank[order])
+        if width >= longest or new.all():
+            break
+        rank = np.empty(len(new), np.int64)
         rank[order] = np.cumsum(new) - 1
+        levels[-1] = rank
+        rank = doubled(rank, width, len(rank))
         levels.append(rank)
         width *= 2
-        if new.all():
-            break
     return order, levels
 
 
