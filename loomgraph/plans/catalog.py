@@ -94,9 +94,9 @@ def _reach(spark: SparkSession, d: str) -> DataFrame:
     return traverse.bfs(g, g.nodes.where("id = 'concept:region_1'").select("id"), None, "out").select("id")
 
 
-@_add("bfs_depth", ", reach AS (SELECT 'interface:supplier_1' AS id, 0 AS depth UNION ALL SELECT CASE WHEN e.source_id = r.id THEN e.target_id ELSE e.source_id END, r.depth + 1 FROM reach r JOIN edges e ON r.id IN (e.source_id, e.target_id) WHERE r.depth < 2) SELECT id, min(depth) AS depth FROM reach GROUP BY id", D.GEO_SQL)
+@_add("bfs_depth", ", step AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges), one AS (SELECT DISTINCT b AS id FROM step WHERE a = 'interface:supplier_1'), two AS (SELECT DISTINCT b AS id FROM step JOIN one ON a = one.id), reach AS (SELECT 'interface:supplier_1' AS id, 0 AS depth UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two) SELECT id, min(depth) AS depth FROM reach GROUP BY id")
 def _depth(spark: SparkSession, d: str) -> DataFrame:
-    g = D.geo(spark, d)
+    g = D.graph(spark, d)
     return traverse.bfs(g, g.nodes.where("id = 'interface:supplier_1'").select("id"), 2)
 
 
