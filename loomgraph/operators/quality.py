@@ -26,22 +26,87 @@ def missing_facts(graph: Graph, types: list[str] | None = None, by: str = "edges
     return out.limit(limit) if limit else out
 
 
+def _shorter_by_one(t: Column) -> Column:
+    """All texts that lack one character of t."""
+    n = F.char_length(t)
+    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1))))
+
+
+def _edits(length: Column, threshold: float) -> Column:
+    """Edits that leave a text of this length (the longer of two) at the threshold."""
+    return F.floor(length * (1 - threshold) + 1e-9).cast("int")
+
+
+def _near_names(names: DataFrame, threshold: float) -> DataFrame:
+    """type, a, b candidates of names (type, name, len) whose distance may reach the threshold.
+
+    Up to two edits: both lose at most as many characters until they are equal.  More edits: the longer
+    name is cut into one part more than edits, so one part occurs in the other name, moved by no more
+    places than edits.  A pair may come several times.
+    """
+    few = names.withColumn("k", _edits(F.col("len"), threshold)).where("k <= 2")
+    none = F.array().cast("array<string>")
+    one = F.when(F.col("k") >= 1, _shorter_by_one(F.col("name"))).otherwise(none)
+    two = F.when(F.col("k") >= 2, F.flatten(F.transform(_shorter_by_one(F.col("name")), _shorter_by_one))).otherwise(none)
+    cut = few.select("type", "name", F.explode(F.array_distinct(F.concat(F.array("name"), one, two))).alias("key"))
+    short = cut.alias("x").join(cut.withColumnsRenamed({"type": "t2", "name": "n2", "key": "k2"}), (F.col("type") == F.col("t2")) & (F.col("key") == F.col("k2")) & (F.col("name") < F.col("n2"))).select("type", F.col("name").alias("a"), F.col("n2").alias("b"))
+
+    def parts(df: DataFrame) -> DataFrame:
+        """Adds place i, start p (from 0) and width w of the parts of a name of length L."""
+        df = df.withColumn("k", _edits(F.col("L"), threshold)).where("k > 2").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+        base, wide = F.floor(F.col("L") / (F.col("k") + 1)).cast("int"), F.col("L") % (F.col("k") + 1)
+        late = F.greatest(F.lit(0), F.col("i") - (F.col("k") + 1 - wide))
+        return df.withColumn("p", F.col("i") * base + late).withColumn("w", base + F.when(F.col("i") >= F.col("k") + 1 - wide, 1).otherwise(0))
+
+    longer = parts(names.withColumn("L", F.col("len"))).select("type", F.col("name").alias("n2"), "L", "i", F.substr("name", F.col("p") + 1, F.col("w")).alias("key"))
+    reach = F.floor(F.col("len") / threshold + 1e-9).cast("int")
+    asks = parts(names.withColumn("L", F.explode(F.sequence("len", reach))))
+    first, last = F.greatest(F.lit(0), F.col("p") - F.col("k")), F.least(F.col("len") - F.col("w"), F.col("p") + F.col("k"))
+    asks = asks.where(first <= last).withColumn("at", F.explode(F.sequence(first, last))).select("type", "name", "L", "i", F.substr("name", F.col("at") + 1, F.col("w")).alias("key")).distinct()
+    far = asks.join(longer, ["type", "L", "i", "key"]).where("name <> n2").select("type", F.least("name", "n2").alias("a"), F.greatest("name", "n2").alias("b"))
+    return short.union(far)
+
+
+def _name_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """type, a, b, similarity of different lower-case names that are alike or of which one holds the other."""
+    names = nodes.select("type", F.lower("name").alias("name")).where("name IS NOT NULL").distinct().withColumn("len", F.char_length("name"))
+    if threshold >= 0.5:
+        near = _near_names(names, threshold)
+    else:  # so many edits that names need not share anything
+        other = names.select(F.col("type").alias("t2"), F.col("name").alias("n2"))
+        near = names.join(other, (F.col("type") == F.col("t2")) & (F.col("name") < F.col("n2"))).select("type", F.col("name").alias("a"), F.col("n2").alias("b"))
+    alike = near.withColumn("similarity", X.similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= threshold).distinct()
+    lengths = names.agg(F.collect_set("len").alias("lengths"))  # one row, no longer than the longest name
+    cuts = F.transform(F.filter("lengths", lambda n: n < F.col("len")), lambda n: F.transform(F.sequence(F.lit(0), F.col("len") - n), lambda i: F.substr(F.col("name"), i + 1, n)))
+    pieces = names.join(F.broadcast(lengths)).select("type", F.col("name").alias("n2"), F.explode(F.array_distinct(F.flatten(cuts))).alias("name"))
+    holds = pieces.join(names, ["type", "name"]).select("type", F.least("name", "n2").alias("a"), F.greatest("name", "n2").alias("b"))
+    return alike.union(holds.withColumn("similarity", X.similarity(F.col("a"), F.col("b")))).distinct()
+
+
 def duplicates(nodes: DataFrame, threshold: float = 0.85, limit: int | None = 50) -> DataFrame:
     """Pairs of one type whose names are alike or of which one holds the other.
 
-    Names that cannot reach the threshold by their lengths, nor be contained, are dropped before
-    distances are computed; the join is on the type.
+    Names meet on pieces they must share (``_near_names``) or, for containment, on substrings of lengths
+    that names have; distinct names are compared once, and their nodes are joined to the pairs found.
     """
-    a = nodes.where(F.col("type") != META_TYPE).select("type", F.col("id").alias("left_id"), F.lower("name").alias("ln"), F.col("name").alias("left_name"), F.col("ord").alias("lo"))
-    b = a.select(F.col("type").alias("t2"), F.col("left_id").alias("right_id"), F.col("ln").alias("rn"), F.col("left_name").alias("right_name"), F.col("lo").alias("ro"))
-    longer, shorter = F.greatest(F.char_length("ln"), F.char_length("rn")), F.least(F.char_length("ln"), F.char_length("rn"))
-    holds = F.contains(F.col("ln"), F.col("rn")) | F.contains(F.col("rn"), F.col("ln"))
-    pairs = a.join(b, (F.col("type") == F.col("t2")) & (F.col("lo") < F.col("ro")) & (holds | (longer - shorter <= (1 - threshold) * longer))).select("type", "left_id", "right_id", "left_name", "right_name", holds.alias("holds"))
-    out = pairs.withColumn("similarity", X.similarity(F.col("left_name"), F.col("right_name"))).where(F.col("holds") | (F.col("similarity") >= threshold))
-    out = out.select("type", "left_id", "right_id", F.round("similarity", 6).alias("similarity")).orderBy(F.desc("similarity"), "left_id", "right_id")
+    n = nodes.where((F.col("type") != META_TYPE) & F.col("name").isNotNull()).select("type", F.lower("name").alias("a"), F.col("id").alias("left_id"), F.col("ord").alias("lo"))
+    other = n.withColumnsRenamed({"a": "b", "left_id": "right_id", "lo": "ro"})
+    found = _name_pairs(nodes.where(F.col("type") != META_TYPE), threshold)
+    cross = found.join(n, ["type", "a"]).join(other, ["type", "b"]).select("type", F.when(F.col("lo") < F.col("ro"), F.col("left_id")).otherwise(F.col("right_id")).alias("left_id"), F.when(F.col("lo") < F.col("ro"), F.col("right_id")).otherwise(F.col("left_id")).alias("right_id"), "similarity")
+    same = n.join(other.withColumnRenamed("b", "a"), ["type", "a"]).where("lo < ro").select("type", "left_id", "right_id", F.lit(1.0).alias("similarity"))
+    out = cross.union(same).select("type", "left_id", "right_id", F.round("similarity", 6).alias("similarity")).orderBy(F.desc("similarity"), "left_id", "right_id")
     return out.limit(limit) if limit else out
 
 
+def duplicate_count(nodes: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """One row: the number of duplicates, from distinct names and their numbers of nodes."""
+    nodes = nodes.where((F.col("type") != META_TYPE) & F.col("name").isNotNull())
+    size = nodes.groupBy("type", F.lower("name").alias("a")).agg(F.count("*").alias("n"))
+    cross = _name_pairs(nodes, threshold).join(size, ["type", "a"]).join(size.withColumnsRenamed({"a": "b", "n": "m"}), ["type", "b"]).select((F.col("n") * F.col("m")).alias("pairs"))
+    same = size.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
+    return cross.union(same).agg(F.coalesce(F.sum("pairs"), F.lit(0).cast("long")).alias("duplicate_pairs"))
+
+
 #: type -> incoming relation without which a node is a gap (None: any).
 GAPS = {"DataStore": "STORED_IN", "Process": None}
 
@@ -85,7 +150,7 @@ def snapshot(graph: Graph, threshold: float = 0.85) -> DataFrame:
     nodes = kql.searchable(graph.nodes)
     one = nodes.agg(F.count("*").alias("total_nodes"), F.count_if(F.trim("description") == "").alias("missing_descriptions"), F.count_if(F.size("key_facts") == 0).alias("missing_facts"), F.count_if(F.col("type") == "DataStore").alias("storage_candidates"), F.count_if(F.col("type") == "Process").alias("process_candidates"))
     gaps = edge_gaps(graph).agg(F.count_if(F.col("type") == "DataStore").alias("storage_gaps"), F.count_if(F.col("type") == "Process").alias("process_gaps"))
-    pairs = duplicates(nodes, threshold, None).agg(F.count("*").alias("duplicate_pairs"))
+    pairs = duplicate_count(nodes, threshold)
     return one.join(gaps).join(pairs)
 
 

@@ -153,9 +153,9 @@ _PAIRS = (
 _GAPS = ", gaps AS (SELECT type, id, name FROM nodes WHERE type = 'DataStore' AND id NOT IN (SELECT target_id FROM edges WHERE relation = 'STORED_IN') UNION ALL SELECT type, id, name FROM nodes WHERE type = 'Process' AND id NOT IN (SELECT target_id FROM edges))"
 
 
-@_add("duplicates", f"{_PAIRS} SELECT * FROM dups", D.GEO_SQL)
+@_add("duplicates", f"{_PAIRS} SELECT * FROM dups")
 def _dups(spark: SparkSession, d: str) -> DataFrame:
-    return quality.duplicates(D.geo(spark, d).nodes, limit=None)
+    return quality.duplicates(D.nodes(spark, d), limit=None)
 
 
 @_add("edge_gaps", f"{_GAPS} SELECT * FROM gaps")
@@ -163,9 +163,9 @@ def _gaps(spark: SparkSession, d: str) -> DataFrame:
     return quality.edge_gaps(D.graph(spark, d))
 
 
-@_add("gap_summary", f"{_PAIRS} {_GAPS} SELECT 'missing_description' AS kind, id, '' AS other FROM nodes WHERE trim(description) = '' UNION ALL SELECT 'missing_facts', id, '' FROM nodes WHERE len(key_facts) = 0 UNION ALL SELECT 'edge_gap', id, '' FROM gaps UNION ALL SELECT 'duplicate', left_id, right_id FROM dups", D.GEO_SQL)
+@_add("gap_summary", f"{_PAIRS} {_GAPS} SELECT 'missing_description' AS kind, id, '' AS other FROM nodes WHERE trim(description) = '' UNION ALL SELECT 'missing_facts', id, '' FROM nodes WHERE len(key_facts) = 0 UNION ALL SELECT 'edge_gap', id, '' FROM gaps UNION ALL SELECT 'duplicate', left_id, right_id FROM dups")
 def _gap_summary(spark: SparkSession, d: str) -> DataFrame:
-    return quality.gap_summary(D.geo(spark, d))
+    return quality.gap_summary(D.graph(spark, d))
 
 
 @_add("stats", "SELECT 'nodes' AS kind, '' AS key, count(*) AS n FROM nodes UNION ALL SELECT 'edges', '', count(*) FROM edges WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes) UNION ALL SELECT 'type', type, count(*) FROM nodes GROUP BY type UNION ALL SELECT 'relation', relation, count(*) FROM edges WHERE source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes) GROUP BY relation UNION ALL SELECT 'sources', '', 1")
@@ -179,14 +179,14 @@ _COUNTS = (
 )
 
 
-@_add("quality_snapshot", f"{_COUNTS} SELECT * FROM counts", D.GEO_SQL)
+@_add("quality_snapshot", f"{_COUNTS} SELECT * FROM counts")
 def _snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return quality.snapshot(D.geo(spark, d))
+    return quality.snapshot(D.graph(spark, d))
 
 
-@_add("quality_score", f"{_COUNTS} SELECT *, round(100 * (0.35 * (1 - missing_descriptions / total_nodes) + 0.35 * (1 - missing_facts / total_nodes) + 0.15 * (1 - duplicate_pairs / (total_nodes * (total_nodes - 1) / 2)) + 0.15 * 1), 6) AS quality_score FROM counts", D.GEO_SQL)
+@_add("quality_score", f"{_COUNTS} SELECT *, round(100 * (0.35 * (1 - missing_descriptions / total_nodes) + 0.35 * (1 - missing_facts / total_nodes) + 0.15 * (1 - duplicate_pairs / (total_nodes * (total_nodes - 1) / 2)) + 0.15 * (1 - least(1.0, (storage_gaps + process_gaps) / (storage_candidates + process_candidates)))), 6) AS quality_score FROM counts")
 def _score(spark: SparkSession, d: str) -> DataFrame:
-    return quality.score(quality.snapshot(D.geo(spark, d)))
+    return quality.score(quality.snapshot(D.graph(spark, d)))
 
 
 @_add("schema_dump", " UNION ALL ".join(
@@ -491,12 +491,12 @@ def _context(spark: SparkSession, d: str) -> DataFrame:
 # --- similarity --------------------------------------------------------------------------------
 @_add("score_all", None)
 def _score_all(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.score_all(D.geo(spark, d))
+    return similarity.score_all(D.graph(spark, d), least=0.5)
 
 
 @_add("communities", None)
 def _communities(spark: SparkSession, d: str) -> DataFrame:
-    s = cut_lineage(similarity.score_all(D.geo(spark, d)))  # three readers
+    s = cut_lineage(similarity.score_all(D.graph(spark, d), least=0.5))  # three readers
     return similarity.materialize(similarity.communities(s, 0.5), s)
 
 
