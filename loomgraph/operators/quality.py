@@ -75,7 +75,9 @@ def _name_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     else:  # so many edits that names need not share anything
         other = names.select(F.col("type").alias("t2"), F.col("name").alias("n2"))
         near = names.join(other, (F.col("type") == F.col("t2")) & (F.col("name") < F.col("n2"))).select("type", F.col("name").alias("a"), F.col("n2").alias("b"))
-    alike = near.withColumn("similarity", X.similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= threshold).distinct()
+    edits = _edits(F.greatest(F.char_length("a"), F.char_length("b")), threshold)
+    near = near.where(F.call_function("levenshtein", F.col("a"), F.col("b"), edits) >= 0).distinct()  # stops early
+    alike = near.withColumn("similarity", X.similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= threshold)
     lengths = names.agg(F.collect_set("len").alias("lengths"))  # one row, no longer than the longest name
     cuts = F.transform(F.filter("lengths", lambda n: n < F.col("len")), lambda n: F.transform(F.sequence(F.lit(0), F.col("len") - n), lambda i: F.substr(F.col("name"), i + 1, n)))
     pieces = names.join(F.broadcast(lengths)).select("type", F.col("name").alias("n2"), F.explode(F.array_distinct(F.flatten(cuts))).alias("name"))

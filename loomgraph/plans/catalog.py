@@ -497,7 +497,7 @@ def _score_all(spark: SparkSession, d: str) -> DataFrame:
 @_add("communities", None)
 def _communities(spark: SparkSession, d: str) -> DataFrame:
     s = cut_lineage(similarity.score_all(D.graph(spark, d), least=0.5))  # three readers
-    return similarity.materialize(similarity.communities(s, 0.5), s)
+    return similarity.materialize(cut_lineage(similarity.communities(s, 0.5)), s)
 
 
 @_add("expand_terms", None)

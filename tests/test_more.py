@@ -1,10 +1,12 @@
 """Lossless text format, versions, additions, reports, migration and the stored index."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.model import EDGE_SCHEMA, NODE_SCHEMA, NOTE_SCHEMA, Graph, conform
-from loomgraph.operators import annotate, quality, search, setops
+from loomgraph.operators import annotate, quality, search, setops, similarity
 from loomgraph.sources import imports, json_io, kg_text
 
 KG = """@ K:a
@@ -181,3 +183,58 @@ def test_annotation_rules(spark):
     got = {(r.doc_id, r.span, r.node_id) for r in annotate.annotate(g, docs).collect()}
     assert {x for x in got if x[0] == 1} == {(1, "Gamma database", "datastore:c")} and not {x for x in got if x[0] in (2, 6)}
     assert (3, "keys", "concept:k") in got and {x for x in got if x[0] == 4} == {(4, "key", "concept:k"), (4, "every signing", "concept:k")} and not {x for x in got if x[0] == 5}
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.7, 0.4])
+def test_duplicates_against_brute_force(spark, threshold):
+    rng = random.Random(7)
+    names = ["", "", "a", "Ä", "order 1", "order 12", "order 12", None]
+    for length in (3, 6, 7, 13, 14, 19, 20, 21, 27, 34, 41):
+        base = [rng.choice("abcd ") for _ in range(length)]
+        for _ in range(9):
+            t = list(base)
+            for _ in range(rng.randint(0, length // 5 + 1)):
+                at, kind = rng.randrange(len(t) + 1), rng.randrange(3)
+                t[at : at + (kind > 0)] = [rng.choice("abcd ")] if kind < 2 else []
+            names.append("".join(t))
+    rows = [(f"n:{i:03d}", rng.choice(["Concept", "Process"]), x, i) for i, x in enumerate(names)]
+    want = set()
+    for i, (a, kind, x, _) in enumerate(rows):
+        for b, other, y, _ in rows[i + 1 :]:
+            if kind == other and x is not None and y is not None:
+                x1, y1 = x.lower(), y.lower()
+                s = 1.0 if x1 == y1 else 1 - _distance(x1, y1) / max(len(x1), len(y1))
+                if s >= threshold or x1 in y1 or y1 in x1:
+                    want.add((kind, a, b, round(s, 6)))
+    nodes = spark.createDataFrame(rows, "id string, type string, name string, ord long")
+    got = [tuple(r) for r in quality.duplicates(nodes, threshold, None).select("type", "left_id", "right_id", "similarity").collect()]
+    assert len(got) == len(set(got)) and {(*r[:3], round(r[3], 6)) for r in got} == want
+    assert quality.duplicate_count(nodes, threshold).first()[0] == len(want)
+    none = nodes.limit(0)
+    assert quality.duplicates(none, threshold, None).count() == 0 and quality.duplicate_count(none, threshold).first()[0] == 0
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8])
+def test_least_scores_against_all_pairs(spark, least):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(rng.choice(words[: 3 + i % 28]) for i in range(n))
+    copies = [text(45) for _ in range(4)]
+    n = [(f"concept:{i}", rng.choice(["Concept", "Process"]), text(3), rng.choice([*copies, text(45), "short"]), [text(4)], i) for i in range(60)]
+    nodes = conform(spark.createDataFrame(n, "id string, type string, name string, description string, key_facts array<string>, ord long"), NODE_SCHEMA)
+    e = [(f"concept:{rng.randrange(60)}", "HAS", f"concept:{rng.randrange(60)}") for _ in range(90)]
+    g = Graph(nodes, conform(spark.createDataFrame(e, "source_id string, relation string, target_id string"), EDGE_SCHEMA), None)
+    every = {(r.source_id, r.target_id): r for r in similarity.score_all(g, zeros=True).collect()}
+    some = {(r.source_id, r.target_id): r for r in similarity.score_all(g, least=least).collect()}
+    assert len(every) == 60 * 59 // 2 and any(r.C1 > 0 for r in every.values())
+    assert set(some) == {k for k, r in every.items() if r.score >= least}
+    assert all(abs(some[k][c] - every[k][c]) < 2e-6 for k in some for c in ("score", "C1", "C2"))
