@@ -65,11 +65,6 @@ def graph(spark: SparkSession, d: str) -> Graph:
     return Graph(nodes(spark, d), edges(spark, d), notes(spark, d), {"name": "derived"})
 
 
-def geo(spark: SparkSession, d: str) -> Graph:
-    """The graph of regions, nations and suppliers, for operators on pairs of nodes."""
-    return Graph(nodes(spark, d, ("region", "nation", "supplier")), edges(spark, d, ("nation", "supplier")), notes(spark, d))
-
-
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.concat(F.lit("datastore:part_"), F.col("vec_id").cast("string")).alias("node_id"), F.col("embedding").alias("vector"))
 
@@ -103,7 +98,6 @@ _E = {
     "available": "SELECT DISTINCT 'datastore:part_' || l_partkey, 'AVAILABLE_IN', 'interface:supplier_' || l_suppkey, '' FROM lineitem",
     "uses": "SELECT DISTINCT 'decision:order_' || l_orderkey, 'USES', 'datastore:part_' || l_partkey, '' FROM lineitem",
 }
-_GEO_N, _GEO_E = ("region", "nation", "supplier"), ("nation", "supplier")
 
 
 def _ctes(nodes_of: tuple[str, ...], edges_of: tuple[str, ...]) -> str:
@@ -118,4 +112,3 @@ def _ctes(nodes_of: tuple[str, ...], edges_of: tuple[str, ...]) -> str:
 
 
 SQL = _ctes(tuple(_N), tuple(_E))
-GEO_SQL = _ctes(_GEO_N, _GEO_E)
