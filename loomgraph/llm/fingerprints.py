@@ -2,8 +2,9 @@
 
 A fingerprint holds the minima of a text's 5-word shingles under 64 universal hash permutations, 16
 bits each, as hexadecimal digits; the share of equal places estimates the shingle sets' Jaccard
-similarity.  ``near_first`` and ``near_pairs`` join bands of the minima in Spark and verify Jaccard on
-the sets: the first with the smallest document of each band, linear in the input; the second all pairs.
+similarity.  ``with_neighbours`` adds the class of each document under all verified links of its bands, as
+``near_dedup`` finds it; ``near_pairs`` gives every pair that shares a band; ``near_first`` asks the
+smallest document of each band only.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from loomgraph.llm import near_dedup
 from loomgraph.llm.line_dedup import with_ids
 
 PERMUTATIONS, BANDS = 64, 16
-_DOC, _NEXT = 0, 1
+_DOC, _NEXT, _NEAR = 0, 1, 2
 
 
 def signatures(texts: pa.Array) -> np.ndarray:
@@ -50,7 +51,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_ids(docs).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def edits(docs: DataFrame) -> DataFrame:
+def edits(docs: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """Fingerprints of each document, and their likeness to an edited text's and the next document's.
 
     The next document has the next smaller doc_id; after the last comes the first (a single
@@ -58,9 +59,10 @@ def edits(docs: DataFrame) -> DataFrame:
     replaced by as many first ones (or all) of the next.  Null texts are empty.  Rows without doc_id
     are left out; rows that share a doc_id follow each other in order of their texts.
 
-    Documents are dealt by ranges of doc_id; a range also gets the first document after it.
+    Documents are dealt by ranges of doc_id; a range also gets the first document after it and its rows
+    of ``near`` (doc_id, near_id; one a doc_id), which add a column near_id, null without one.
     """
-    src, n = with_ids(docs), X.bucket_count(docs.sparkSession)
+    src, n, wanted = with_ids(docs), X.bucket_count(docs.sparkSession), near is not None
     cuts = src.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10000).alias("q")).first()["q"] or []  # at most n values
     cuts = np.unique(np.array(cuts, np.int64))
 
@@ -87,12 +89,15 @@ def edits(docs: DataFrame) -> DataFrame:
         yield from out.flush()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {_DOC: [], _NEXT: []}
+        got: dict[int, list] = {_DOC: [], _NEXT: [], _NEAR: []}
         for _, tag, frame in X.frames(batches):
             got[tag].append(X.unpack(frame))
         if not got[_DOC]:
             return
         own = pa.Table.from_batches(got[_DOC]).sort_by([("doc_id", "descending"), ("text", "ascending")])
+        linked = X.joined(got[_NEAR]) if got[_NEAR] else {"doc_id": np.zeros(0, np.int64), "near_id": np.zeros(0, np.int64)}
+        order = np.argsort(linked["doc_id"])
+        linked = {c: v[order] for c, v in linked.items()}
         tail = pa.Table.from_batches(got[_NEXT]).sort_by([("doc_id", "descending"), ("text", "ascending")]).slice(0, 1)
         del got
         rows = pa.concat_tables([own, tail]).combine_chunks()
@@ -108,13 +113,28 @@ def edits(docs: DataFrame) -> DataFrame:
                 edited.append(text[: len(text) - third] + after[:third])
             sig = signatures(pa.array(texts, pa.large_string()))
             new = signatures(pa.array(edited, pa.large_string()))
+            ids = part.column("doc_id").slice(0, m)
+            found = np.searchsorted(linked["doc_id"], ids.to_numpy())
+            has = np.append(linked["doc_id"], 0)[found] == ids.to_numpy()
+            has &= found < len(linked["doc_id"])
+            more = [pa.array(np.append(linked["near_id"], 0)[found], pa.int64(), mask=~has)] if wanted else []
             yield pa.record_batch([
-                part.column("doc_id").slice(0, m), pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-                pa.array(fingerprint(sig[:-1])), pa.array(fingerprint(new)), pa.array(likeness(sig[:-1], new)), pa.array(likeness(sig[:-1], sig[1:])),
-            ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                ids, pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+                pa.array(fingerprint(sig[:-1])), pa.array(fingerprint(new)), pa.array(likeness(sig[:-1], new)), pa.array(likeness(sig[:-1], sig[1:])), *more,
+            ], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *(["near_id"] if more else [])])
             at += m
 
-    return X.shuffled(src.mapInArrow(deal, X.FRAMES), n).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    def deal_near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = X.Sender(n)
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            yield from out.add(_NEAR, np.searchsorted(cuts, ids), {"doc_id": ids, "near_id": batch.column("near_id")})
+        yield from out.flush()
+
+    sent, kind = src.mapInArrow(deal, X.FRAMES), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    if wanted:
+        sent, kind = sent.union(near.mapInArrow(deal_near, X.FRAMES)), f"{kind}, near_id long"
+    return X.shuffled(sent, n).mapInArrow(run, kind)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -131,8 +151,8 @@ def near_first(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Each document is verified with the smallest documents of its bands, on the full sets of shingles;
     near_id is the smallest that has at least ``percent`` hundredths of the union in common.  A
-    document is no neighbour of itself, and texts without words have none.  All links of a family
-    are not sought here: ``near_pairs`` and ``near_dedup`` do that.
+    document is no neighbour of itself, and texts without words have none.  Other links of a family
+    are not sought here, so no query rests on it: ``near_pairs`` and ``with_neighbours`` do that.
     """
     src, n = with_ids(docs), X.bucket_count(docs.sparkSession)
 
@@ -171,10 +191,16 @@ def near_first(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
-    """``edits`` with near_id of ``near_first`` (null where a document has none)."""
-    near = X.stored(near_first(docs), "fingerprint-neighbours")
+    """``edits`` with near_id, the smallest document reachable by links (null where none is smaller).
+
+    Links are those of ``near_dedup``: documents that share a band, verified on their full sets, with
+    whomever of the band they are alike.  Two documents are linked by a chain where their coalesce(near_id,
+    doc_id) are equal.
+    """
+    linked = near_dedup.near_duplicates(docs).where("component_id < doc_id").groupBy("doc_id").agg(F.min("component_id").alias("near_id"))
+    near = X.stored(linked, "fingerprint-neighbours")
     X.drop_shuffles(docs.sparkSession)
-    return edits(docs).join(near, "doc_id", "left")
+    return edits(docs, near)
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.75) -> DataFrame:

@@ -250,6 +250,34 @@ def test_near_first(spark):
     assert abs(seen - true).mean() < 0.06 and abs(seen - true).max() < 0.25
 
 
+def test_neighbours_beyond_smallest(spark):
+    """A link between two late documents is not lost where a smaller one below the threshold is first in all bands they share."""
+    rnd = random.Random(5)
+    words = [f"q{i}" for i in range(260)]
+    late = {1000: " ".join(words), 1001: " ".join([*words[:-12], *(f"z{i}" for i in range(12))])}
+    bands = lambda t: fingerprints.M.minima(*fingerprints.M.shingles(pa.array([t])), 64).reshape(16, 4)
+    meet = lambda a, b: (bands(a) == bands(b)).all(axis=1)
+    todo, rows = meet(late[1000], late[1001]), dict(late)
+    for i in range(1000):
+        w = list(words)
+        for at in range(rnd.randrange(26), 260, 26):
+            w[at] = f"y{i}x{at}"
+        hit = meet(" ".join(w), late[1000]) & todo
+        if hit.any():
+            rows[i], todo = " ".join(w), todo & ~hit
+    assert not todo.any()
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert not fingerprints.near_first(docs).where("doc_id = 1001 and near_id = 1000").count()
+    grams = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows.items()}
+    comp = {d: d for d in rows}
+    for a in rows:
+        for b in rows:
+            if a < b and 100 * len(grams[a] & grams[b]) >= 75 * len(grams[a] | grams[b]):
+                comp = {d: min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for d, c in comp.items()}
+    assert comp[1001] == 1000
+    assert {r.doc_id: r.near_id for r in fingerprints.with_neighbours(docs).collect()} == {d: c if c < d else None for d, c in comp.items()}
+
+
 def test_corpus_counts_beyond_32_bits():
     """Counts of two blocks whose sum passes 2**31 come back whole, to the rows that are scored."""
     import numpy as np
