@@ -238,3 +238,40 @@ def test_least_scores_against_all_pairs(spark, least):
     assert len(every) == 60 * 59 // 2 and any(r.C1 > 0 for r in every.values())
     assert set(some) == {k for k, r in every.items() if r.score >= least}
     assert all(abs(some[k][c] - every[k][c]) < 2e-6 for k in some for c in ("score", "C1", "C2"))
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.85])
+def test_each_pair_of_names_once(spark, threshold):
+    """Pairs of distinct names against all pairs, each with one row, and no more meetings than a few a pair."""
+    rng = random.Random(4)
+    names = {"".join(rng.choice("ab0") for _ in range(rng.choice([3, 7, 12, 14, 15, 18, 22]))) for _ in range(60)}
+    for w in sorted(names):  # one to three edits of any kind, and longer ones
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(v))
+                v[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "0"])
+            names.add("".join(v) or "a")
+        names.add(w + "0b0b0b")
+    names |= {f"customer#{i:09d}" for i in range(0, 3000, 25)}
+    df = spark.createDataFrame([("Process", w) for w in sorted(names)], "type string, name string")
+    got = [(r.a, r.b, round(r.similarity, 9)) for r in quality._name_pairs(df, threshold).collect()]
+
+    def distance(x: str, y: str) -> int:
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return row[-1]
+
+    want = []
+    for a in names:
+        for b in names:
+            s = 1 - distance(a, b) / max(len(a), len(b)) if a < b else 0
+            if a < b and (s >= threshold or a in b or b in a):
+                want.append((a, b, round(s, 9)))
+    assert sorted(got) == sorted(want)
+    few = df.select("type", "name", F.char_length("name").alias("len"), F.lit(2).alias("k")).where("name like 'customer%'")
+    known, rest = quality._few_edits(few)  # before: pairs met on each choice of lost characters
+    assert rest.distinct().count() * 40 > rest.count() and known.count() == known.distinct().count()
