@@ -275,3 +275,15 @@ def test_each_pair_of_names_once(spark, threshold):
     few = df.select("type", "name", F.char_length("name").alias("len"), F.lit(2).alias("k")).where("name like 'customer%'")
     known, rest = quality._few_edits(few)  # before: pairs met on each choice of lost characters
     assert rest.distinct().count() * 40 > rest.count() and known.count() == known.distinct().count()
+
+
+def test_candidates_share_enough(spark):
+    """Two sets of equal weights that share their heaviest token, and too little with it, are no candidates."""
+    part = similarity._least_shared(0.5)
+    assert abs(0.35 * part / (2 - part) + 0.65 * part - 0.5) < 1e-9 and 0.55 < part < 0.57
+    # The ninth token leaves 0.53 of the set: less than equal sets must share, more than half.
+    weights = [0.47 / 8] * 8 + [0.0530] * 10
+    rows = [(i, f"{i}t{j}" if j < 8 else f"t{j}", w) for i in "ab" for j, w in enumerate(weights)]
+    df = spark.createDataFrame([(i, t, float(w)) for i, t, w in rows], "id string, token string, w double")
+    assert similarity._candidates(df, 0.5).count() == 0
+    assert similarity._candidates(df, 0.45).count() == 1
