@@ -309,3 +309,37 @@ def test_annotation_of_many_alike(spark):
     terms = annotate.run_terms(nodes)
     assert {r.terms for r in terms.collect()} == {"order", "order book", "book", "o"}
     assert {r.terms for r in annotate.span_rows(docs, annotate.term_bits(terms)).collect()} <= {"order", "order book", "book", "o"}
+
+
+def test_packed_sets_meet(spark):
+    """All pairs that reach the least blend are met, in sets of 1 to 150 tokens, and of large sets few that share one rare token."""
+    import math
+
+    rng = random.Random(5)
+    sets = []
+    for i in range(240):
+        size = rng.choice([1, 2, 5, 6, 40, 150])
+        base = list(rng.choice(sets)) if sets and i % 2 else []
+        own = set(rng.sample(base, int(len(base) * rng.choice([0.4, 0.6, 0.8, 1.0]))))
+        sets.append(own | {rng.randrange(3000) for _ in range(rng.choice([0, 1, size // 3, size]))} | {3000 + i % 2})
+    own = spark.createDataFrame([(i, t) for i, s in enumerate(sets) for t in s if t >= 3000], "k long, t long")
+    far = spark.createDataFrame([(i, t) for i, s in enumerate(sets) for t in s if t < 3000], "k long, t long")
+    h = lambda df: df.select("k", F.xxhash64("t").alias("t"))
+    count = {}
+    for t in (t for s in sets for t in s):
+        count[t] = count.get(t, 0) + 1
+    w = {t: max(0.05, math.log((len(sets) + 1) / (c + 1)) + 1) for t, c in count.items()}
+    total = [sum(w[t] for t in s) for s in sets]
+    rare, want = 0, {}
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            inter = sum(w[t] for t in x & sets[j])
+            want[i, j] = 0.35 * inter / (total[i] + total[j] - inter) + 0.65 * inter / min(total[i], total[j])
+            rare += min(len(x), len(sets[j])) >= 30 and any(t < 3000 for t in x & sets[j])
+    packed = similarity._packed(h(own), h(far), "test-sets")
+    met = {(min(r.a, r.b), max(r.a, r.b)) for r in similarity._met(packed, 0.5).collect()}
+    good = {p for p, v in want.items() if v >= 0.5}
+    assert len(good) > 60 and good <= met
+    assert 2 * sum(min(len(sets[i]), len(sets[j])) >= 30 for i, j in met) < rare  # one shared token is too little
+    got = {(r.a, r.b): r.C for r in similarity._blended(spark.createDataFrame(sorted(good), "a long, b long"), packed, "C").collect()}
+    assert got.keys() == good and all(abs(got[p] - want[p]) < 1e-9 for p in good)
