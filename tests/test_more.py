@@ -240,6 +240,39 @@ def test_least_scores_against_all_pairs(spark, least):
     assert all(abs(some[k][c] - every[k][c]) < 2e-6 for k in some for c in ("score", "C1", "C2"))
 
 
+def test_least_scores_of_odd_nodes(spark):
+    """Rows of one id are one set (before: its pairs came several times), and null values take nothing from their node."""
+    n = [(f"concept:{i}", "Concept", f"red w{i % 4}", [None, f"a{i % 3}"], [None] if i % 2 else [f"fact {i % 3}"], [None, "DOC x"], i) for i in range(12)]
+    n += [(i, t, "blue", a, f, x, o + 50) for i, t, _, a, f, x, o in n[:3]]
+    nodes = conform(spark.createDataFrame(n, "id string, type string, name string, alias array<string>, key_facts array<string>, source_files array<string>, ord long"), NODE_SCHEMA)
+    g = Graph(nodes, conform(spark.createDataFrame([("concept:1", "HAS", "concept:2")], "source_id string, relation string, target_id string"), EDGE_SCHEMA), None)
+    every = {(r.source_id, r.target_id): r.score for r in similarity.score_all(g, zeros=True).collect()}
+    got = [(r.source_id, r.target_id, r.score) for r in similarity.score_all(g, least=0.5).collect()]
+    some = {(a, b): s for a, b, s in got}
+    assert len(some) == len(got) and set(some) == {k for k, s in every.items() if s >= 0.5} and ("concept:0", "concept:6") in some
+    assert 12 < len(some) < 66 and all(abs(every[k] - s) < 2e-6 for k, s in some.items())
+
+
+def test_score_all_has_all_pairs(spark, tmp_path, monkeypatch):
+    """The registered query has each pair that shares a token, whatever its score (before: from 0.5 up), in blocks of few nodes as well."""
+    from loomgraph.plans import catalog
+    from loomgraph.plans import derive as D
+
+    tables = {
+        "region": ("r_regionkey long, r_name string", [(0, "AFRICA"), (1, "ASIA")]), "nation": ("n_nationkey long, n_name string, n_regionkey long", [(0, "KENYA", 0), (1, "CHINA", 1)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey long, s_acctbal double", [(i, f"Supplier#{i}", i % 2, 5.0) for i in range(3)]), "customer": ("c_custkey long, c_name string, c_nationkey long, c_mktsegment string", [(i, f"Customer#{i}", i % 2, "M") for i in range(4)]),
+        "part": ("p_partkey long, p_name string, p_brand string, p_type string, p_size int", [(0, "red rod", "B", "BIG", 1), (1, "red rod", None, None, 1)]), "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp", [(i, i % 4, "O", "1-HIGH", None) for i in range(5)]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long", [(i, i % 2, i % 3) for i in range(5)]), "documents": ("doc_id long, text string, lang string, source string", [(0, "a", "en", "x")]),
+    }
+    for name, (kind, rows) in tables.items():
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    got = [tuple(r) for r in catalog.queries()["score_all"](spark, str(tmp_path)).collect()]
+    want = {(r.source_id, r.target_id): (r.score, r.C1, r.C2) for r in similarity.score_all(D.graph(spark, str(tmp_path)), zeros=True).collect()}
+    assert len(got) == len(want) == 18 * 17 // 2 and {r[:2] for r in got} == set(want)  # all have the tables as their source
+    assert all(abs(x - y) < 2e-6 for r in got for x, y in zip(r[2:], want[r[:2]], strict=True)) and min(r[2] for r in got) < 0.2
+
+
 @pytest.mark.parametrize("threshold", [0.7, 0.85])
 def test_each_pair_of_names_once(spark, threshold):
     """Pairs of distinct names against all pairs, each with one row, and no more meetings than a few a pair."""
