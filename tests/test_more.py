@@ -273,6 +273,24 @@ def test_score_all_has_all_pairs(spark, tmp_path, monkeypatch):
     assert all(abs(x - y) < 2e-6 for r in got for x, y in zip(r[2:], want[r[:2]], strict=True)) and min(r[2] for r in got) < 0.2
 
 
+def test_name_pairs_have_small_plans(spark):
+    """Pairs of names with many and few nodes, from plans of few leaves (before: the nodes were read again for each kind of edit, and such plans filled the driver)."""
+    names = ["red rod"] * 20 + ["red rods", "red rod", "rod"] + [f"Customer#{i:09d}" for i in (1, 2, 12, 21, 345)] * 2
+    rows = [(f"n:{i:02d}", "Process", x, i) for i, x in enumerate(names)]
+    nodes = spark.createDataFrame(rows, "id string, type string, name string, ord long")
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    pairs, count = quality.duplicates(nodes, 0.85, None, ordered=False), quality.duplicate_count(nodes, 0.85)
+    assert leaves(pairs) <= 10 and leaves(count) <= 3
+    want = set()
+    for i, (a, _, x, _) in enumerate(rows):
+        for b, _, y, _ in rows[i + 1 :]:
+            s = 1 - _distance(x.lower(), y.lower()) / max(len(x), len(y))
+            if s >= 0.85 or x in y or y in x:
+                want.add((a, b, round(s, 6)))
+    got = [(r.left_id, r.right_id, round(r.similarity, 6)) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and count.first()[0] == len(want)
+
+
 @pytest.mark.parametrize("threshold", [0.7, 0.85])
 def test_each_pair_of_names_once(spark, threshold):
     """Pairs of distinct names against all pairs, each with one row, and no more meetings than a few a pair."""
